@@ -90,12 +90,12 @@ class Hasher:
         np.cumsum(self.r[data] * self.pw[: len(data)], out=pref[1:])
         return mix((pref[ends] - pref[starts]) * self.inv[starts])
 
-    def words(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of words, and for each row the index of its first word (one more at the end)."""
+    def words(self, data: np.ndarray, offs: np.ndarray, non: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of words, and for each row the index of its first word (one more at the end). non: where word bytes are, if not wherever white space isn't."""
         n = len(data)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-        non = ~self.ws[data]
+        non = ~self.ws[data] if non is None else non
         s = non.copy()
         s[1:] &= ~non[:-1]
         cut = offs[(offs > 0) & (offs < n)]
@@ -145,6 +145,34 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return cur
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Where letters and digits are: ASCII ones, the underscore and everything else but U+0080 to U+00BF, U+2000 to U+2BFF and U+3000 to U+303F."""
+    non = _ALNUM[data]
+    if len(data) and data.max() >= 128:
+        for lead, least, most, size in ((0xC2, 0x80, 0xBF, 2), (0xE2, 0x80, 0xAF, 3), (0xE3, 0x80, 0x80, 3)):
+            at = np.flatnonzero(data == lead)
+            at = at[at + size <= len(data)]
+            at = at[(data[at + 1] >= least) & (data[at + 1] <= most)]
+            for k in range(size):
+                non[at + k] = False
+    return non
+
+
+def lowered(col: pa.Array) -> pa.Array:
+    """The column in lower case, every row with as many bytes as before: characters whose lower case has another length stay."""
+    col = pc.fill_null(col, "")
+    low = pc.utf8_lower(col)
+    if pc.all(pc.equal(pc.binary_length(low), pc.binary_length(col))).as_py() is not False:
+        return low
+    same = pc.equal(pc.binary_length(low), pc.binary_length(col)).to_pylist()
+    keep = lambda c: x if len((x := c.lower()).encode()) == len(c.encode()) else c
+    return pa.array([a if ok else "".join(map(keep, b)) for a, b, ok in zip(low.to_pylist(), col.to_pylist(), same)], col.type)
+
+
 def seen(batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
