@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, quality, secrets
+from . import chat, decontaminate, line_dedup, packing, quality, secrets
 from .common import table
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op3_quality": lambda s, d: quality.scores(table(s, d, "documents"), table(s, d, "labels")),
         "op4_decontaminate": lambda s, d: decontaminate.contaminated(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op5_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op6_chat_format": lambda s, d: chat.format_chats(table(s, d, "conversations")),
         "op8_secret_scan": lambda s, d: secrets.secret_scan(table(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_dedup.line_dedup(table(s, d, "documents")),
