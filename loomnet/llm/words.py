@@ -130,19 +130,25 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of x[i:i+w] at each i; the last w-1 places hold the minimum of what is left."""
-    cur, width = x, 1
+def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
+    """Place of the first minimum of x[i:i+w] at each i; the last w-1 places look at what is left."""
+    at, low, width = np.arange(len(x), dtype=np.int32), x, 1
+
+    def join(shift: int):
+        nonlocal at, low
+        if len(x) > shift:
+            less = low[shift:] < low[:-shift]
+            at, old = at.copy(), at
+            low, was = low.copy(), low
+            np.copyto(at[:-shift], old[shift:], where=less)
+            np.copyto(low[:-shift], was[shift:], where=less)
+
     while width * 2 <= w:
-        nxt = cur.copy()
-        np.minimum(cur[:-width], cur[width:], out=nxt[:-width]) if len(cur) > width else None
-        cur, width = nxt, width * 2
-    if width < w and len(cur) > w - width:
-        d = w - width
-        nxt = cur.copy()
-        np.minimum(cur[:-d], cur[d:], out=nxt[:-d])
-        cur = nxt
-    return cur
+        join(width)
+        width *= 2
+    if width < w:
+        join(w - width)
+    return at
 
 
 _ALNUM = np.zeros(256, bool)
