@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, packing, quality, secrets, suffix
+from . import chat, decontaminate, line_dedup, neardup, packing, quality, secrets, suffix
 from .common import table
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": lambda s, d: suffix.repeated_passages(table(s, d, "documents")),
+        "op2_near_dedup": lambda s, d: neardup.near_copies(table(s, d, "documents")),
         "op3_quality": lambda s, d: quality.scores(table(s, d, "documents"), table(s, d, "labels")),
         "op4_decontaminate": lambda s, d: decontaminate.contaminated(table(s, d, "documents"), table(s, d, "benchmark")),
         "op5_packing": lambda s, d: packing.pack(table(s, d, "documents")),
