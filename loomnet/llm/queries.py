@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, neardup, packing, quality, secrets, suffix
+from . import chat, decontaminate, line_dedup, neardup, packing, quality, rans, secrets, suffix
 from .common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op6_chat_format": lambda s, d: chat.format_chats(table(s, d, "conversations")),
         "op8_secret_scan": lambda s, d: secrets.secret_scan(table(s, d, "documents")),
+        "op9_token_blocks": lambda s, d: rans.token_blocks(table(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_dedup.line_dedup(table(s, d, "documents")),
     }
 

@@ -6,6 +6,8 @@ maximal runs of bytes other than ASCII white space.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,6 +181,14 @@ def lowered(col: pa.Array) -> pa.Array:
     return pa.array([a if ok else "".join(map(keep, b)) for a, b, ok in zip(low.to_pylist(), col.to_pylist(), same)], col.type)
 
 
+def kept(key, make):
+    """What make gives, kept in this worker process under key from task to task."""
+    own = sys.modules.setdefault("_loomnet_worker", types.ModuleType("_loomnet_worker")).__dict__
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
 def seen(batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
