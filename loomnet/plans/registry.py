@@ -1,5 +1,10 @@
 """Registered queries of the relational operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from . import mention_queries
+
+MODULES = (mention_queries,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
+FLAGSHIP = "gate_reasons"
