@@ -198,11 +198,20 @@ def tokens(c) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), r"[.,;:!?()|*$%&#\"']", ""), r"[ \t\n\r\f]+"), lambda w: w != "")
 
 
+def bound(c, body) -> Column:
+    """body(c) with c computed once: a lambda variable isn't inlined where body uses it again and again."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def shingles(words, k: int) -> Column:
     """Distinct k-word shingles; fewer words make one shingle, none make none."""
-    n = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    def body(w):
+        n = F.size(w)
+        many = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    return bound(words, body)
 
 
 def jaccard(a, b) -> Column:
