@@ -163,7 +163,7 @@ def _search(held, idf: np.ndarray, mean: float, k: int, k1: float, b: float, sha
         def flush():
             shard = Shard(np.concatenate(doc), np.concatenate(term), np.concatenate(length), np.concatenate(ids), len(terms.vocab), idf, mean, k1, b)
             out = [(q, *shard.search(t, k)) for q, t in terms.queries]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, *_ in out], [len(i) for _, i, _ in out]), pa.int64()), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for *_, s in out]))], names=["item_id", "doc_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([q for q, *_ in out], np.int64), np.array([len(i) for _, i, _ in out], np.int64))), pa.array(np.concatenate([np.zeros(0, np.int64), *(i for _, i, _ in out)])), pa.array(np.concatenate([np.zeros(0), *(s for *_, s in out)]))], names=["item_id", "doc_id", "score"])
 
         for batch in words.seen(batches):
             own = batch.column(0).to_numpy(zero_copy_only=False)
