@@ -21,7 +21,6 @@ import base64
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,38 +45,31 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class Pieces(dict):
-    """Ids of the pieces of texts, each piece coded once and then remembered; forgets when it grows beyond a bound."""
+class Coder:
+    """Byte-level BPE of a vocabulary file of ranks."""
 
     def __init__(self, path: str):
-        import regex
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.coder = tiktoken.Encoding("loomnet", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(PATTERN).findall
         self.size = max(ranks.values()) + 1
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
 
-    def __missing__(self, piece: str) -> tuple:
-        if len(self) > 400_000:
-            self.clear()
-        ids = self[piece] = tuple(self.coder.encode_ordinary(piece))
-        return ids
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.split(text))), np.uint32)
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, as bytes of kind."""
+        return np.array(self.coder.encode_ordinary(text), self.kind).tobytes()
 
     def decode(self, ids) -> str:
         return self.coder.decode(list(map(int, ids)), errors="strict")
 
 
-def _tokenise(path: str, vocab: int):
+def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = words.kept(("pieces", path), lambda: Pieces(path))  # what one task has coded helps the next in its process
-        kind = np.uint16 if vocab <= 1 << 16 else np.uint32
+        coder = words.kept(("coder", path), lambda: Coder(path))
         for b in words.seen(batches):
-            out = [pieces.encode(t or "").astype(kind).tobytes() for t in b.column(1).to_pylist()]
+            out = [coder.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return run
@@ -124,8 +116,8 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray, every: in
             out.append((w & np.uint64(0xFFFFFFFF)).astype(np.uint32)[::-1])
             total += len(w)
             y = np.where(over, y >> np.uint64(32), y)
-        q, r = np.divmod(y, f)
-        x[: hi - lo] = (q << np.uint64(SCALE)) + r + s
+        q = y // f
+        x[: hi - lo] = (q << np.uint64(SCALE)) + (y - q * f) + s
         if step and step % every == 0:
             marks.append(total)
             held.append(x.copy())
@@ -213,7 +205,7 @@ def encode(docs: DataFrame, path: str | None = None, block_tokens: int = 1 << 17
     with open(path, "rb") as f:
         vocab = sum(1 for x in f if x.strip())
     kind = np.uint16 if vocab <= 1 << 16 else np.uint32
-    ids = written(id_text(docs).mapInArrow(_tokenise(path, vocab), "doc_id long, ids binary"), "token-ids")
+    ids = written(id_text(docs).mapInArrow(_tokenise(path), "doc_id long, ids binary"), "token-ids")
     counts = np.zeros(vocab, np.int64)
     for r in ids.select("ids").mapInArrow(_count(kind, vocab), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row an id of the vocabulary
         counts[r["id"]] = r["n"]
