@@ -45,7 +45,7 @@ def yearly_json(spark: SparkSession, root: str, years, schema: str, coded_only:
 def variants(spark: SparkSession, path: str, name: str = "name", aliases: str = "aliases") -> DataFrame:
     """(org, variant) of a CSV with aliases between semicolons; the name is a variant too."""
     d = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    v = F.concat(F.array(F.col(name)), F.transform(F.split(F.coalesce(aliases, F.lit("")), ";"), F.trim))
+    v = F.concat(F.array(F.col(name)), F.transform(F.split(F.coalesce(aliases, F.lit("")), ";"), lambda a: F.trim(a)))
     return d.select(F.col(name).alias("org"), F.explode(F.array_distinct(F.filter(v, lambda x: x != ""))).alias("variant"))
 
 
