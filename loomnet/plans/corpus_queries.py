@@ -70,7 +70,7 @@ QUERIES = {
     "date_roundtrip": text_dates,
     "date_cascade": cascade,
     "json_lenient": replies,
-    "token_cost": lambda s, d: T(s, d, "events").select("event_id", J.cost(F.col("user_id") * 10, F.col("user_id"), F.col("event_id") % 100, F.lit(0.15), F.lit(0.075), F.lit(0.6)).alias("cost")),
+    "token_cost": lambda s, d: T(s, d, "events").select("event_id", J.cost(F.col("user_id") * 10000, F.col("user_id") * 1000, (F.col("event_id") % 100) * 1000, F.lit(0.15), F.lit(0.075), F.lit(0.6)).alias("cost")),
 }
 _TOK = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[.,;:!?()|*$%&#\"'']', '', 'g'), '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
 _SH = "shs AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END) AS s FROM (SELECT doc_id, " + _TOK + " AS w FROM documents) WHERE len(w) > 0)"
@@ -93,5 +93,5 @@ CASE k WHEN 0 THEN CASE WHEN meta THEN 'meta' ELSE 'iso' END WHEN 1 THEN CASE WH
 FROM (SELECT o_orderkey, o_orderkey % 4 AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, regexp_matches('2' || substring(strftime(o_orderdate, '%Y'), 2), '20[0-2][0-9]') AS meta, regexp_matches('20' || substring(strftime(o_orderdate, '%Y'), 3), '20[0-2][0-9]') AS tm FROM orders)""",
     "json_lenient": """SELECT event_id, CASE WHEN ok THEN CASE k % 3 WHEN 0 THEN 'collaboration' ELSE 'co-mention' END END AS label, CASE WHEN ok THEN 'high' END AS confidence, CASE WHEN ok THEN 'k=' || k END AS reasoning
 FROM (SELECT event_id, k, k % 3 < 2 AND (k % 2 = 0 OR k % 7 <> 0) AS ok FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))""",
-    "token_cost": "SELECT event_id, round(((user_id * 10 - user_id) * 0.15 + user_id * 0.075 + (event_id % 100) * 0.6) / 1e6, 6) AS cost FROM events",
+    "token_cost": "SELECT event_id, round(((user_id * 10000 - user_id * 1000) * 0.15e0 + user_id * 1000 * 0.075e0 + (event_id % 100) * 1000 * 0.6e0) / 1e6, 6) AS cost FROM events",
 }
