@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK = 4 << 20
+CHUNK = 1 << 20  # bytes of text that arrays are built over at once
 _P = 0x9E3779B97F4A7C15 | 1
 _PI = pow(_P, -1, 1 << 64)
 
@@ -84,12 +84,17 @@ class Hasher:
                 a[0] = 1
                 setattr(self, name, np.cumprod(a, dtype=np.uint64))
 
-    def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0, np.uint64)
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums that ranges of the same bytes share."""
         self.grow(len(data))
         pref = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.r[data] * self.pw[: len(data)], out=pref[1:])
+        return pref
+
+    def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pref: np.ndarray | None = None) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        pref = self.prefix(data) if pref is None else pref
         return mix((pref[ends] - pref[starts]) * self.inv[starts])
 
     def words(self, data: np.ndarray, offs: np.ndarray, non: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
