@@ -19,10 +19,12 @@ Repeated rows get the same scores. Extra columns pass through. An empty table gi
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,8 +56,10 @@ class Encoder:
         for lo, hi, data, offs in words.text_chunks(col):
             low = words.buffers(words.lowered(col.slice(lo, hi - lo)))[0]
             s, e, wo = self.hasher.words(low, offs, words.letters(low))
-            h = self.hasher.ranges(low, s, e)
-            kinds = np.stack([h, *(self.hasher.ranges(low, s, np.minimum(s + k, e)) + np.uint64(k) for k in PREFIXES)])
+            pref = self.hasher.prefix(low)
+            h = self.hasher.ranges(low, s, e, pref)
+            kinds = np.stack([h, *(self.hasher.ranges(low, s, np.minimum(s + k, e), pref) + np.uint64(k) for k in PREFIXES)])
+            del pref
             n = np.diff(wo)
             per = np.maximum(1, -(-n // PASSAGE))
             first = np.concatenate([[0], np.cumsum(per)])
@@ -217,10 +221,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
             part = one.filter((F.col("quality") == q) & (F.col("toxic") == t)).orderBy(h, "doc_id").limit(per_class)
             sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most 4 * per_class ids, whatever the corpus: small enough to broadcast
-    rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select(h.alias("h"), "doc_id", "text", "quality", "toxic").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
-    y = np.stack([1 - rows["quality"].to_numpy().astype(int), rows["toxic"].to_numpy().astype(int)], axis=1) if rows.num_rows else np.zeros((0, 2), int)
-    return Model(rows["text"].to_pylist(), np.clip(y, 0, 1))
+    # at most 4 * per_class ids, whatever the corpus: small enough to broadcast, and to fit in one task
+    rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select(h.alias("h"), "doc_id", "text", "quality", "toxic")
+    trained = rows.repartition(1).mapInArrow(_train, "model binary").first()
+    return pickle.loads(trained["model"]) if trained else Model([], np.zeros((0, 2), int))
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All sampled rows, in order of hash, become one pickled model."""
+    got = [b for b in batches if b.num_rows]
+    if got:
+        rows = pa.Table.from_batches(got).sort_by([("h", "ascending"), ("doc_id", "ascending")])
+        y = np.stack([1 - rows["quality"].to_numpy().astype(int), rows["toxic"].to_numpy().astype(int)], axis=1)
+        model = Model(rows["text"].to_pylist(), np.clip(y, 0, 1))
+    else:
+        model = Model([], np.zeros((0, 2), int))
+    yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = 1500, names=("low_quality", "toxicity", "rejected"), model: Model | None = None) -> DataFrame:
