@@ -26,8 +26,10 @@ RULES = [
     ("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     ("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     ("password", 1, r"[Pp]assword[=:][^ \t\n\r\x22']{6,}"),
-    ("quoted_hex", 1, r"\x22[0-9a-f]{40}\x22"),
+    ("quoted_hex", 2, r"\x22[0-9A-Fa-f]{40}\x22"),
 ]
+#: The rules that SQL states. It still has quoted_hex 1, lower case only: the operator finds more than it.
+SQL_RULES = [("quoted_hex", 1, r"\x22[0-9a-f]{40}\x22") if r[0] == "quoted_hex" else r for r in RULES]
 
 
 def versions_of(docs: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -
 
 
 def _sql() -> str:
-    one = " UNION ALL ".join(f"SELECT blob, '{r}' AS rule, {v} AS version, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS m FROM blobs" for r, v, p in RULES)
+    one = " UNION ALL ".join(f"SELECT blob, '{r}' AS rule, {v} AS version, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS m FROM blobs" for r, v, p in SQL_RULES)
     return f"""
 WITH versions AS (SELECT doc_id, text, sha256(text) AS blob FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 blobs AS (SELECT blob, any_value(text) AS text FROM versions GROUP BY blob),

@@ -327,6 +327,12 @@ def test_ledger_scans_only_unseen(spark):
     assert secrets.secret_scan(empty(spark)).count() == 0 and secrets.secret_scan(awkward(spark)).count() == 0
 
 
+def test_quoted_hex_in_any_case(spark):
+    keys = ["0123456789abcdef" * 2 + "01234567", "0123456789ABCDEF" * 2 + "01234567", "0123456789abcDEF" * 2 + "01234567"]
+    d = spark.createDataFrame([(i, f'token = "{k}"') for i, k in enumerate(keys)] + [(9, f'"{keys[1]}F"')], "doc_id long, text string")
+    assert {(r.doc_id, r.rule, r.version, r.n) for r in secrets.secret_scan(d).collect()} == {(i, "quoted_hex", 2, 1) for i in range(3)}
+
+
 # 9
 
 
