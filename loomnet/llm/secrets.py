@@ -2,7 +2,8 @@
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger holds the
 (blob, rule, rule version) triples that were scanned; only unseen ones are scanned, each blob
-once however many paths hold it, and findings join back to all paths.
+once however many paths hold it, and findings join back to all paths. The ledger has no
+findings: what scan() found is kept beside it and given back with it, for new paths of old blobs.
 
 Defined results. A null text is no version; an empty one is a blob without findings. Rows
 without a doc_id have no path and are left out. Rows that repeat count once; a doc_id with
@@ -71,10 +72,15 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple
     return found, todo.select("blob", F.explode("rules").alias("r")).select("blob", "r.rule", "r.version")
 
 
-def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
-    """(doc_id, blob, rule, version, secret, n): findings at every path that holds the blob."""
+def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, findings: DataFrame | None = None) -> DataFrame:
+    """(doc_id, blob, rule, version, secret, n): findings at every path that holds the blob. findings: those by blob of the earlier scans in the ledger; without them only blobs with unseen rules have rows."""
     paths = versions_of(docs).select("doc_id", "blob").distinct()
-    return paths.join(scan(docs, ledger, rules)[0], "blob").select("doc_id", "blob", "rule", "version", "secret", "n")
+    found = scan(docs, ledger, rules)[0]
+    if findings is not None:
+        now = docs.sparkSession.createDataFrame([(r, v) for r, v, _ in rules], "rule string, version int")  # superseded versions stay behind
+        kept = findings.select("blob", "rule", F.col("version").cast("int").alias("version"), "secret", F.col("n").cast("int").alias("n"))
+        found = found.unionByName(kept.join(F.broadcast(now), ["rule", "version"], "left_semi")).distinct()
+    return paths.join(found, "blob").select("doc_id", "blob", "rule", "version", "secret", "n")
 
 
 def _sql() -> str:

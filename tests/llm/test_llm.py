@@ -333,6 +333,18 @@ def test_quoted_hex_in_any_case(spark):
     assert {(r.doc_id, r.rule, r.version, r.n) for r in secrets.secret_scan(d).collect()} == {(i, "quoted_hex", 2, 1) for i in range(3)}
 
 
+def test_new_path_of_a_known_blob(spark):
+    key = "AKIA" + "A" * 16
+    d = spark.createDataFrame([(1, f"x {key}"), (2, "password=hunter22")], "doc_id long, text string")
+    findings, ledger = secrets.scan(d)
+    grown = d.unionByName(spark.createDataFrame([(7, f"x {key}"), (9, f"new {key}")], d.schema))
+    rows = sorted(map(tuple, secrets.secret_scan(grown, ledger, findings=findings.unionByName(findings)).collect()))
+    assert [r[0] for r in rows] == [1, 2, 7, 9] and rows == sorted(map(tuple, secrets.secret_scan(grown).collect()))
+    newer = [(r, v + (r == "password"), p) for r, v, p in secrets.RULES]
+    rows = {(r.doc_id, r.rule, r.version) for r in secrets.secret_scan(grown, ledger, newer, findings).collect()}
+    assert rows == {(1, "aws_access_key", 1), (2, "password", 2), (7, "aws_access_key", 1), (9, "aws_access_key", 1)}
+
+
 # 9
 
 
