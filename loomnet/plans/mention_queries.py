@@ -80,15 +80,24 @@ def best(s, d):
     return P.best(P.near(T(s, d, "documents"), ["idiot", "clown", "scum"], ["tion", "pathetic", "nden"], 300))
 
 
+def near_whole(s, d):
+    return P.near(T(s, d, "documents"), ["idiot", "clown", "scum"], ["tion", "pathetic", "nden"])
+
+
 def contexts(s, d):
-    docs = T(s, d, "documents")
-    return P.with_context(P.best(P.near(docs, ["idiot", "clown", "scum"], ["tion", "pathetic", "nden"], 300)), docs, 200)
+    return P.with_context(P.best(near_whole(s, d)), T(s, d, "documents"))
 
 
 _PLACES = lambda terms, name: f"""{name}_p AS (SELECT doc_id, {name}_ord, {name}, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length({name}) AS INTEGER) AS {name}_at FROM
  (SELECT doc_id, {name}_ord, {name}, parts, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, o AS {name}_ord, t AS {name}, string_split(lower(text), t) AS parts FROM documents, (VALUES {_values(list(enumerate(terms)))}) AS v(o, t))))"""
 NEAR = f"""{_PLACES(["idiot", "clown", "scum"], "org")}, {_PLACES(["tion", "pathetic", "nden"], "kw")},
 near AS (SELECT *, abs(org_at - kw_at) AS distance FROM org_p JOIN kw_p USING (doc_id) WHERE abs(org_at - kw_at) <= 300)"""
+NEAR_WHOLE = f"""{_PLACES(["idiot", "clown", "scum"], "org")}, {_PLACES(["tion", "pathetic", "nden"], "kw")},
+near AS (SELECT *, abs(org_at - kw_at) AS distance FROM org_p JOIN kw_p USING (doc_id) WHERE abs(org_at - kw_at) <= 1200)"""
+_BEST = """one AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, org, kw ORDER BY distance, org_ord, kw_ord, org_at, kw_at) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, org_ord, kw_ord, org_at, kw_at) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM one)
+SELECT a.doc_id, a.org, a.kw, a.distance, CASE WHEN a.distance < 150 THEN 'near' WHEN a.distance < 500 THEN 'medium' ELSE 'far' END AS level, CAST(floor((a.org_at + a.kw_at) / 2) AS INTEGER) AS anchor,
+(SELECT string_agg(org || '~' || kw, ', ' ORDER BY rn) FROM r b WHERE b.doc_id = a.doc_id AND b.rn <= 4) AS top_hits, CAST(greatest(n - 4, 0) AS INTEGER) AS n_more FROM r a WHERE rn = 1"""
 
 QUERIES = {
     "mention_hits": lambda s, d: M.org_hits(T(s, d, "documents"), orgs(s)),
@@ -107,6 +116,8 @@ QUERIES = {
     "unnested_targets": lambda s, d: P.unnested(found(s, d)),
     "proximity_pairs": near,
     "best_window": best,
+    "proximity_pairs_1200": lambda s, d: near_whole(s, d).select("doc_id", "org", "kw", "org_at", "kw_at", "distance"),
+    "best_window_1200": lambda s, d: P.best(near_whole(s, d)),
     "pair_contexts": contexts,
 }
 _SCORE = f"""scored AS (SELECT doc_id, source, mention_count, raw_score, word_count, round(CASE WHEN word_count = 0 THEN 0.0 ELSE raw_score * 100.0 / word_count END, 6) AS density FROM (
@@ -136,8 +147,7 @@ CAST(contains(h, 'stupid') AS INTEGER) + CAST(contains(h, 'idiot') AS INTEGER) +
 FROM targets t JOIN cut USING (doc_id) WHERE len(targets) > 0 AND len(keywords) > 0) WHERE len(alive) > 0""",
     "unnested_targets": f"WITH {TARGETS} SELECT source || '__' || doc_id || '__' || target AS id, doc_id, source, target FROM (SELECT doc_id, source, unnest(CASE WHEN len(targets) > 0 THEN targets ELSE ['(unknown)'] END) AS target FROM targets)",
     "proximity_pairs": f"WITH {NEAR} SELECT doc_id, org, kw, org_at, kw_at, distance FROM near",
-    "best_window": f"""WITH {NEAR}, one AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, org, kw ORDER BY distance, org_ord, kw_ord, org_at, kw_at) = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, org_ord, kw_ord, org_at, kw_at) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM one)
-SELECT a.doc_id, a.org, a.kw, a.distance, CASE WHEN a.distance < 150 THEN 'near' WHEN a.distance < 500 THEN 'medium' ELSE 'far' END AS level, CAST(floor((a.org_at + a.kw_at) / 2) AS INTEGER) AS anchor,
-(SELECT string_agg(org || '~' || kw, ', ' ORDER BY rn) FROM r b WHERE b.doc_id = a.doc_id AND b.rn <= 4) AS top_hits, CAST(greatest(n - 4, 0) AS INTEGER) AS n_more FROM r a WHERE rn = 1""",
+    "best_window": f"WITH {NEAR}, {_BEST}",
+    "proximity_pairs_1200": f"WITH {NEAR_WHOLE} SELECT doc_id, org, kw, org_at, kw_at, distance FROM near",
+    "best_window_1200": f"WITH {NEAR_WHOLE}, {_BEST}",
 }
