@@ -61,6 +61,8 @@ QUERIES = {
     "actor_kinds": lambda s, d: U.validated(names(s, d), core(s)),
     "folded_text": lambda s, d: docs(s, d).select("doc_id", F.md5(X.fold("text")).alias("h"), X.match_key(F.left("text", F.lit(80))).alias("key")),
     "acronyms": lambda s, d: docs(s, d).select("doc_id", X.acronym(F.left("text", F.lit(30))).alias("acronym")).filter("acronym is not null"),
+    "folded_text_whole": lambda s, d: docs(s, d).select("doc_id", F.md5(X.fold("text")).alias("h"), X.match_key("text").alias("key")),
+    "acronyms_of_names": lambda s, d: T(s, d, "part").select("p_partkey", X.acronym("p_name").alias("acronym")).filter("acronym is not null"),
     "token_shingles": lambda s, d: docs(s, d).select("doc_id", F.size(X.tokens("text")).alias("n_words"), F.size(X.shingles(X.tokens("text"), 5)).alias("n_shingles")),
     "contexts": lambda s, d: docs(s, d).select("doc_id", X.context("text", F.lit(100), 40).alias("context")),
     "chunks": lambda s, d: docs(s, d).lateralJoin(X.SentenceChunks(F.col("text").outer(), F.lit(3000), F.lit(1000))).select("doc_id", "idx", "start", F.length("chunk").alias("n_chars")),
@@ -81,6 +83,8 @@ ORACLE = {
     "near_dup_pairs": f"WITH {_SH.format(k=5)}, {_PAIRS} SELECT * FROM pairs WHERE jaccard >= 0.85",
     "folded_text": "SELECT doc_id, md5(strip_accents(text)) AS h, trim(regexp_replace(lower(strip_accents(left(text, 80))), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS key FROM documents",
     "acronyms": "SELECT doc_id, acronym FROM (SELECT doc_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(strip_accents(left(text, 30)), '[^A-Za-z ]', '', 'g'), ' '), lambda w: length(w) >= 3), lambda w: upper(left(w, 1))), '') AS acronym FROM documents) WHERE length(acronym) BETWEEN 2 AND 6",
+    "folded_text_whole": "SELECT doc_id, md5(strip_accents(text)) AS h, trim(regexp_replace(lower(strip_accents(text)), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS key FROM documents",
+    "acronyms_of_names": "SELECT p_partkey, acronym FROM (SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(regexp_replace(strip_accents(p_name), '[^A-Za-z ]', '', 'g'), ' '), lambda w: length(w) >= 3), lambda w: upper(left(w, 1))), '') AS acronym FROM part) WHERE length(acronym) BETWEEN 2 AND 6",
     "token_shingles": f"WITH {_SH.format(k=5)} SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS n_words, CAST(coalesce((SELECT len(s) FROM shs WHERE shs.doc_id = documents.doc_id), 0) AS INTEGER) AS n_shingles FROM documents",
     "contexts": "SELECT doc_id, '...' || substring(text, 61, least(length(text), 140) - 60) || CASE WHEN length(text) > 140 THEN '...' ELSE '' END AS context FROM documents",
     "stratified_sample": f"WITH n AS (SELECT lang, greatest(1, CAST(round_even(count(*) / (SELECT count(*) FROM documents) * 100, 0) AS INTEGER)) AS need FROM documents GROUP BY 1) SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_MD.format(k='doc_id')}, doc_id) AS rn FROM documents) JOIN n USING (lang) WHERE rn <= need",
