@@ -8,6 +8,8 @@
    one stream. Every ``every`` steps a checkpoint holds the place in the stream and the states
    of all coders, so that the parts between checkpoints decode in parallel. A CRC-32 of the
    ids guards each block.
+4. One more row, with block_id -1, has the table of frequencies; blocks name it by table_id, and
+   carry their step between checkpoints. With the vocabulary, the rows are all that decoding needs.
 
 Defined results. A null or empty text has no tokens, and is listed in its block with length 0.
 Rows without a doc_id are left out. Repeated rows are coded as often as they stand there.
@@ -18,6 +20,7 @@ blocks. Which documents share a block follows the files' partitions; decoding do
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import zlib
 from collections.abc import Iterator
@@ -34,7 +37,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SCALE = 22
 LANES = 256
 LOW = np.uint64(1 << 31)
-OUT = "block_id long, doc_ids array<long>, lengths array<int>, n_tokens int, lanes int, words binary, states binary, checkpoint_at array<int>, checkpoint_states binary, crc32 long"
+OUT = "block_id long, doc_ids array<long>, lengths array<int>, n_tokens int, lanes int, words binary, states binary, checkpoint_at array<int>, checkpoint_states binary, crc32 long, every int, table_id string"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -149,8 +152,18 @@ def symbols(freq: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(freq), dtype=np.int32), freq)
 
 
-def decode_block(row, freq: np.ndarray, every: int = 256) -> np.ndarray:
+def table_id(freq: np.ndarray) -> str:
+    return hashlib.sha256(freq.astype("<u4").tobytes()).hexdigest()
+
+
+def table_of(row) -> np.ndarray:
+    """Frequencies of a table's row."""
+    return np.frombuffer(zlib.decompress(row["freq"]), "<u4").astype(np.int64)
+
+
+def decode_block(row, freq: np.ndarray, every: int | None = None) -> np.ndarray:
     """Tokens of a block, part by part from its checkpoints, checked against its CRC-32."""
+    every = every or row["every"]
     start, symbol, lanes = np.cumsum(freq) - freq, symbols(freq), row["lanes"]
     stream = np.frombuffer(row["words"], np.uint32)
     marks = [0, *row["checkpoint_at"]]
@@ -172,6 +185,7 @@ def _blocks(held, kind, block_tokens: int, every: int):
 
         freq = held.value
         start = np.cumsum(freq) - freq
+        name = table_id(freq)
         task, number, docs, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush():
@@ -181,8 +195,9 @@ def _blocks(held, kind, block_tokens: int, every: int):
                 [
                     pa.array([(task << 32) + number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int32())), pa.array([len(ids)], pa.int32()), pa.array([LANES], pa.int32()),
                     pa.array([stream.tobytes()], pa.binary()), pa.array([states.tobytes()], pa.binary()), pa.array([marks], pa.list_(pa.int32())), pa.array([b"".join(x.tobytes() for x in at)], pa.binary()), pa.array([zlib.crc32(ids.astype("<u4").tobytes())], pa.int64()),
+                    pa.array([every], pa.int32()), pa.array([name]),
                 ],
-                names=["block_id", "doc_ids", "lengths", "n_tokens", "lanes", "words", "states", "checkpoint_at", "checkpoint_states", "crc32"],
+                names=["block_id", "doc_ids", "lengths", "n_tokens", "lanes", "words", "states", "checkpoint_at", "checkpoint_states", "crc32", "every", "table_id"],
             )
 
         for b in words.seen(batches):
@@ -215,4 +230,9 @@ def encode(docs: DataFrame, path: str | None = None, block_tokens: int = 1 << 17
 
 
 def token_blocks(docs: DataFrame, path: str | None = None, block_tokens: int = 1 << 17, every: int = 256) -> DataFrame:
-    return encode(docs, path, block_tokens, every)[0]
+    """The blocks and, where there are any, the row of their table."""
+    blocks, freq = encode(docs, path, block_tokens, every)
+    table = docs.sparkSession.createDataFrame([(-1, table_id(freq), bytearray(zlib.compress(freq.astype("<u4").tobytes())))], "block_id long, table_id string, freq binary")
+    if id_text(docs).isEmpty():
+        table = table.limit(0)
+    return blocks.withColumn("freq", F.lit(None).cast("binary")).unionByName(table, allowMissingColumns=True)

@@ -364,6 +364,20 @@ def test_rans_round_trip(spark, sf):
         rans.decode_block(bad, freq, every=3)
 
 
+def test_blocks_decode_from_their_rows_alone(spark, sf, tmp_path):
+    for k, d in enumerate((documents(spark, sf), awkward(spark))):
+        rans.token_blocks(d, block_tokens=5000, every=3).write.parquet(f"{tmp_path}/{k}")
+        rows = spark.read.parquet(f"{tmp_path}/{k}").collect()
+        tables = {r.table_id: rans.table_of(r) for r in rows if r.freq is not None}
+        assert len(tables) == 1 and len(rows) > 2
+        coder, got = rans.Coder(rans.vocabulary_path()), []
+        for r in rows:
+            if r.freq is None:
+                ids, cut = rans.decode_block(r, tables[r.table_id]), np.cumsum([0, *r.lengths])
+                got += [(i, coder.decode(ids[a:b])) for i, a, b in zip(r.doc_ids, cut, cut[1:])]
+        assert sorted(got) == sorted((r.doc_id, r.text or "") for r in d.collect() if r.doc_id is not None)
+
+
 # 10
 
 
