@@ -60,7 +60,7 @@ def wilcoxon_by_category(s, d):
 
 def perms(s: SparkSession, d: str):
     a, b = small(graph(s, d), s, d), small(second(s, d), s, d)
-    return S.qap(a, b, s, 500)
+    return S.qap(a, b, s, 15_000)
 
 
 QUERIES = {
@@ -82,9 +82,9 @@ QUERIES = {
     "two_paths": lambda s, d: S.two_paths(sparse(s, d)).groupBy("src", "tgt").agg(F.count("*").alias("k")),
     "centralities": lambda s, d: S.centralities(yearly_networks(s, d), nodes(s, d)),
     "qap": perms,
-    "mrqap": lambda s, d: S.mrqap(small(graph(s, d), s, d), small(sparse(s, d), s, d), s, 100).unionByName(S.mrqap(small(graph(s, d), s, d), small(sparse(s, d), s, d), s, 100, True)),
-    "cug": lambda s, d: S.cug(small(sparse(s, d), s, d), s, 200).unionByName(S.cug(small(sparse(s, d), s, d), s, 200, "dyads")),
-    "reciprocity_random": lambda s, d: S.density_matched(small(graph(s, d), s, d), s, 300),
+    "mrqap": lambda s, d: S.mrqap(small(graph(s, d), s, d), small(sparse(s, d), s, d), s, 15_000).unionByName(S.mrqap(small(graph(s, d), s, d), small(sparse(s, d), s, d), s, 15_000, True)),
+    "cug": lambda s, d: S.cug(small(sparse(s, d), s, d), s, 15_000).unionByName(S.cug(small(sparse(s, d), s, d), s, 15_000, "dyads")),
+    "reciprocity_random": lambda s, d: S.density_matched(small(graph(s, d), s, d), s, 5_000),
     "reciprocity_relabelled": lambda s, d: S.relabelled(small(graph(s, d), s, d), s),
     "wilcoxon_categories": wilcoxon_by_category,
 }
