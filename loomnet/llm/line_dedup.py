@@ -8,7 +8,8 @@ stays; the others are cut from their documents.
 Defined results. A line is what stands between line feeds; lines of nothing but white space
 are never repeats. A null text has no lines and stays null. Rows without a doc_id pass
 unchanged and take no part. Rows that repeat a doc_id with the same text are one document:
-each copy of the row loses the same lines. Extra columns pass through, whatever they are
+each copy of the row loses the same lines. Different texts of a doc_id are documents of their own,
+in order of a hash of the text. Extra columns pass through, whatever they are
 called. An empty table gives an empty table.
 """
 
@@ -120,7 +121,7 @@ def _suspects(held):
             return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
         for b in words.seen(batches):
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, marks = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             for lo, _, data, offs in words.text_chunks(b.column(1)):
                 row, number, s, e = _lines(hasher, data, offs)
                 seg, x, y = _places(hasher.ranges(data, s, e), segments)
@@ -128,22 +129,22 @@ def _suspects(held):
                 if len(k):
                     raw = data.tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[lo + row[k]], pa.int64()), pa.array(number[k].astype(np.int32)), pa.array([raw[i:j] for i, j in zip(s[k].tolist(), e[k].tolist())], pa.binary())], names=["doc_id", "line_no", "line"]
+                        [pa.array(ids[lo + row[k]], pa.int64()), pa.array(marks[lo + row[k]], pa.int64()), pa.array(number[k].astype(np.int32)), pa.array([raw[i:j] for i, j in zip(s[k].tolist(), e[k].tolist())], pa.binary())], names=["doc_id", "mark", "line_no", "line"]
                     )
 
     return run
 
 
 def repeats(docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
-    """(doc_id, line_no) of every line that stands earlier in the corpus too."""
+    """(doc_id, mark, line_no), mark being the hash of the text, of every line that stands earlier in the corpus too."""
     spark, base = docs.sparkSession, id_text(docs).filter("text is not null")
     held = spark.sparkContext.broadcast(twice_filter(base, max_bits))
-    lines = written(base.mapInArrow(_suspects(held), "doc_id long, line_no int, line binary"), "line-suspects")
+    lines = written(base.withColumn("mark", F.xxhash64("text")).mapInArrow(_suspects(held), "doc_id long, mark long, line_no int, line binary"), "line-suspects")
     # partial aggregation folds hot lines before the shuffle; the join back is split by AQE where a line is hot
-    at = F.struct("doc_id", "line_no")
+    at = F.struct("doc_id", "mark", "line_no")
     first = lines.groupBy("line").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     first = first.filter("first != last").select("line", "first")
-    return lines.join(first, "line").filter(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no").distinct()
+    return lines.join(first, "line").filter(at != F.col("first")).select("doc_id", "mark", "line_no").distinct()
 
 
 def _cut(schema: T.StructType, text: str, gone: str, count: str):
@@ -167,8 +168,8 @@ def _cut(schema: T.StructType, text: str, gone: str, count: str):
 
 def line_dedup(docs: DataFrame, max_bits: int = 1 << 28, count: str = "n_removed") -> DataFrame:
     """docs with repeated lines cut from text, and how many each lost in the column count."""
-    key, gone = fresh(docs, "key", "gone")
-    lists = repeats(docs, max_bits).groupBy("doc_id").agg(F.collect_list("line_no").alias(gone)).withColumnRenamed("doc_id", key)
-    joined = docs.join(lists.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col(key), "left").drop(key)
+    key, mark, gone = fresh(docs, "key", "mark", "gone")
+    lists = repeats(docs, max_bits).groupBy(F.col("doc_id").alias(key), F.col("mark").alias(mark)).agg(F.collect_list("line_no").alias(gone))
+    joined = docs.join(lists.hint("shuffle_hash"), (docs["doc_id"].cast("long") == F.col(key)) & (F.xxhash64(docs["text"].cast("string")) == F.col(mark)), "left").drop(key, mark)
     out = T.StructType([*(f for f in joined.schema if f.name != gone), T.StructField(count, T.IntegerType())])
     return joined.mapInArrow(_cut(joined.schema, next(c for c in docs.columns if c.lower() == "text"), gone, count), out)
