@@ -105,6 +105,7 @@ QUERIES = {
     "gate": lambda s, d: M.gate(found(s, d)).select("doc_id", "source", F.array_join("targets", ";").alias("targets"), F.array_join("keywords", ";").alias("keywords")),
     "gate_reasons": gate_reasons,
     "index_docs_resume": index_docs,
+    "index_docs_whole": lambda s, d: M.index(T(s, d, "documents"), orgs(s), keywords(s))[0],
     "mentioning_docs": lambda s, d: M.mentioning(T(s, d, "documents"), orgs(s)).select("org", "n_docs", F.array_join("docs", ",").alias("docs")),
     "pattern_check": lambda s, d: M.pattern_check(T(s, d, "documents"), orgs(s)),
     "keyword_score": scored,
@@ -134,6 +135,9 @@ ORACLE = {
     "index_docs_resume": f"""WITH {ORG_HITS}, {KW_HITS} SELECT *, CAST(n_other_orgs > 0 AND n_relation_kw > 0 AS INTEGER) AS passes_gate FROM (
 SELECT doc_id, source, length(text) AS text_chars, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, (SELECT count(*) FROM org_hits o WHERE o.doc_id = d.doc_id AND is_self = 0) AS n_other_orgs,
 coalesce((SELECT CAST(sum(n_hits) AS BIGINT) FROM kw_hits k WHERE k.doc_id = d.doc_id AND category = 'relation'), 0) AS n_relation_kw FROM documents d WHERE doc_id % 2 <> 0)""",
+    "index_docs_whole": f"""WITH {ORG_HITS}, {KW_HITS} SELECT *, CAST(n_other_orgs > 0 AND n_relation_kw > 0 AS INTEGER) AS passes_gate FROM (
+SELECT doc_id, source, length(text) AS text_chars, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, (SELECT count(*) FROM org_hits o WHERE o.doc_id = d.doc_id AND is_self = 0) AS n_other_orgs,
+coalesce((SELECT CAST(sum(n_hits) AS BIGINT) FROM kw_hits k WHERE k.doc_id = d.doc_id AND category = 'relation'), 0) AS n_relation_kw FROM documents d)""",
     "mentioning_docs": f"WITH {ORG_HITS} SELECT org, count(*) AS n_docs, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM org_hits WHERE is_self = 0 GROUP BY org",
     "pattern_check": f"""WITH {ORG_HITS}, one AS (SELECT DISTINCT doc_id, source, term FROM hits)
 SELECT term, org, count(*) AS n_docs, count(DISTINCT source) AS breadth, round(coalesce(count(*) FILTER (org = source) / (SELECT nullif(count(*), 0) FROM documents d WHERE d.source = org), 0), 6) AS self_hit, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM one JOIN orgs USING (term) GROUP BY term, org""",
