@@ -392,11 +392,11 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("bits", [1 << 20, 1 << 28])
-def test_line_dedup(spark, sf, bits):
+@pytest.mark.parametrize("how", [{}, {"segment_lines": 40}, {"bits_per_line": 1}, {"segment_lines": 64, "bits_per_line": 1}])
+def test_line_dedup(spark, sf, how):
     for d in (documents(spark, sf), awkward(spark)):
         want = brute_lines([(r.doc_id, r.text) for r in d.collect()])
-        out = line_dedup.line_dedup(d, bits, count="gone!")
+        out = line_dedup.line_dedup(d, count="gone!", **how)
         assert out.columns == [*d.columns, "gone!"]
         rows = out.collect()
         assert sorted(((r.doc_id or 0, r.text or "") for r in rows)) == sorted(((r.doc_id or 0, want[(r.doc_id, r.text)] or "") for r in d.collect()))
