@@ -158,47 +158,55 @@ def norm(t):
     return re.findall(r"[0-9a-z_À-῿Ⰰ-⿿぀-\U0010ffff]+", (t or "").lower())
 
 
-def brute_matches(text, items, least=13, short=8, share=0.8):
-    """(first word, end word) of maximal matches over the limits."""
-    subs = collections.defaultdict(lambda: 10**9)
-    for w in items:
+def brute_spans(text, items, least=13, short=8, share=0.8, whole=4):
+    """{(first word, end word): (words of the shortest item that holds it, item)} of outermost spans over the limits."""
+    subs = {}
+    for k, w in items:
         for i in range(len(w)):
             for j in range(i + 1, len(w) + 1):
-                subs[tuple(w[i:j])] = min(subs[tuple(w[i:j])], len(w))
-    w, out, start = norm(text), set(), 0
-    longest = []
-    for e in range(1, len(w) + 1):
-        while start < e and tuple(w[start:e]) not in subs:
-            start += 1
-        longest.append(e - start)
-    for e, m in enumerate(longest, 1):
-        if m and (e == len(w) or longest[e] != m + 1) and (m >= least or m >= short and m >= share * subs[tuple(w[e - m : e])]):
-            out.add((e - m, e))
-    return out
-
-
-def test_decontamination_against_brute_force(spark):
-    rng = random.Random(1)
-    items = [words_of(rng, n, 30).split() for n in (9, 14, 20, 25, 25)]
+                x = tuple(w[i:j])
+                subs[x] = min(subs.get(x, (10**9, 0)), (len(w), k))
+    w, hit = norm(text), {}
+    for i in range(len(w)):
+        for j in range(i + 1, len(w) + 1):
+            size, k = subs.get(tuple(w[i:j]), (0, 0))
+            if size and (j - i >= least or j - i >= short and j - i >= share * size or j - i == size >= whole):
+                hit[i, j] = (size, k)
+    return {x: v for x, v in hit.items() if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in hit)}
+
+
+def leaky(spark, seed, sizes):
+    rng = random.Random(seed)
+    items = [(k, words_of(rng, n, 30).split()) for k, n in enumerate(sizes)]
+    items += [(90, items[-1][1][3:17] + ["tail"] * 4), (91, items[-1][1][5:15])]
     rows = []
     for i in range(60):
         w = words_of(rng, 40, 30).split()
         for _ in range(rng.randrange(3)):
-            it = rng.choice(items)
-            a = rng.randrange(len(it))
-            w[rng.randrange(40) : 0] = it[a : a + rng.randrange(6, 26)]
+            it = rng.choice(items)[1]
+            a = rng.randrange(len(it)) if rng.random() < 0.6 else 0
+            w[rng.randrange(40) : 0] = it[a : a + rng.randrange(3, 26)]
         rows.append((i, ", ".join(w).upper()))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
-    got = collections.defaultdict(set)
-    for r in decontaminate.contaminated(docs, bench).collect():
-        t = dict(rows)[r.doc_id].encode()
-        got[r.doc_id].add((len(norm(t[: r.start_byte].decode())), len(norm(t[: r.end_byte].decode()))))
-    assert {i: got[i] for i, _ in rows} == {i: brute_matches(t, items) for i, t in rows}
-    many = decontaminate.contaminated(docs, bench, shard_words=30)
-    assert {(r.doc_id, r.start_byte, r.end_byte) for r in many.collect()} >= {(r.doc_id, r.start_byte, r.end_byte) for r in decontaminate.contaminated(docs, bench).collect()}
-    for r in decontaminate.decontaminate(docs, bench).collect():
-        assert (r.n_spans > 0) == bool(got[r.doc_id]) and len(r.text) <= len(dict(rows)[r.doc_id])
+    return items, rows, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_words": 3, "min_words": 2, "max_coverage": 0.5, "least_item": 1}])
+def test_decontamination_against_brute_force(spark, limits):
+    items, rows, docs, bench = leaky(spark, 1, (2, 5, 6, 9, 14, 20, 25, 25))
+    names = dict(zip(("least", "short", "share", "whole"), (limits.get(k, v) for k, v in (("max_words", 13), ("min_words", 8), ("max_coverage", 0.8), ("least_item", 4)))))
+    want = {(i, *x, *v) for i, t in rows for x, v in brute_spans(t, items, **names).items()}
+    for shard, held in ((300_000, 8), (40, 8), (1, 50), (30, 1)):
+        if limits and shard < 300_000:
+            break
+        out = decontaminate.contaminated(docs, bench, shard_words=shard, shards_held=held, **limits).collect()
+        got = set()
+        for r in out:
+            t = dict(rows)[r.doc_id].encode()
+            got.add((r.doc_id, len(norm(t[: r.start_byte].decode())), len(norm(t[: r.end_byte].decode())), round(r.n_words / r.coverage), r.item_id))
+        assert got == want and len(out) == len(want)
+    cut = collections.Counter(x[0] for x in want)
+    for r in decontaminate.decontaminate(docs, bench, shard_words=40, shards_held=2, **limits).collect():
+        assert r.n_spans == cut[r.doc_id] and len(r.text) <= len(dict(rows)[r.doc_id])
 
 
 def test_decontamination_awkward(spark):
