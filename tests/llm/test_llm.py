@@ -113,7 +113,9 @@ def test_near_dedup_awkward(spark):
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11]
 
 
-def test_large_groups_branch_and_join(spark):
+@pytest.mark.parametrize("how", [{"leaf": 16}, {"leaf": 4, "depth": 1}, {"leaf": 4, "depth": 3, "dense": 0.9}])
+def test_large_groups_branch_and_join(spark, how):
+    """Nodes of any size go by one rule, and no leaf is larger than it may be."""
     rng = random.Random(3)
     base = [words_of(rng, 80).split() for _ in range(3)]
     rows = []
@@ -121,9 +123,13 @@ def test_large_groups_branch_and_join(spark):
         w = list(base[i % 3])
         w[rng.randrange(80)] = f"v{i}"
         rows.append((i, " ".join(w)))
-    rows += [(1000 + i, words_of(rng, 60, 100_000)) for i in range(60)]
-    got = {r.doc_id: r.group_id for r in neardup.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), leaf=16).collect()}
+    rows += [(1000 + i, words_of(rng, 60, 100_000)) for i in range(60)] + rows[:30]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in neardup.near_copies(docs, **how).collect()}
     assert got == {i: i % 3 for i in range(240)}
+    signed = docs.distinct().mapInArrow(neardup._sign, "doc_id long, same long, n_words int, sig binary, sig8 binary")
+    leaves, _ = neardup.leaves_of(signed, 0.5, 8, 2, how["leaf"], how.get("dense", 0.6), how.get("depth", 10))
+    assert max(r["count"] for r in leaves.groupBy("path").count().collect()) <= how["leaf"]
 
 
 # 3
