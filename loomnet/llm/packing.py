@@ -1,34 +1,44 @@
 """Best-fit packing of documents into training sequences by a grouping genetic algorithm.
 
-Length is counted in words. A text longer than ``capacity`` is cut into full pieces, each a
-sequence of its own, and a rest; rests and shorter texts are packed whole. Documents fall into
-blocks of about ``block_docs`` by hash of the id, so that work grows with the corpus and no
-step sees more than a block. Each block evolves on several islands at once. A chromosome is a
-set of whole sequences: crossover injects well-filled sequences of one parent into the other,
-drops those that hold an injected document twice, and puts displaced documents back by best
-fit. After each epoch every island's best solution moves to the next island of its block; in
-the end the best of all islands stands. Fitness is the mean squared fill.
-
-Defined results. Null, empty and blank texts have no words and stand in no sequence. Rows
-without a doc_id are left out. Rows that repeat a doc_id with as many words are packed once.
-Extra columns are ignored. The result depends on the documents alone, not on their order or
-partitions. An empty table gives no sequences.
+Texts become token ids of a public vocabulary, and sequences hold at most ``capacity`` tokens. A
+text longer than that is cut into full pieces, each a sequence of its own, and a rest; rests and
+shorter texts are packed whole. Documents fall into blocks of about ``block_docs`` by hash, so that
+work grows with the corpus and no step sees more than a block. Each block evolves on several
+islands at once. A chromosome is a set of whole sequences: crossover injects well-filled sequences
+of one parent into the other, drops those that hold an injected document twice, lets displaced
+documents take the place of smaller ones where they fill a sequence better, and puts what is left
+back by best fit. After each epoch every island's best solution moves to the next island of its
+block; in the end the best of all islands stands. Fitness is the mean squared fill. The first
+individual is best fit by decreasing size, so that no block ends worse than that.
+
+Tokens are written once without a shuffle; evolution moves sizes only; in the end tokens go to
+their block once, where sequences are put together.
+
+Defined results. Null and empty texts have no tokens and stand in no sequence. Rows
+without a doc_id are left out. Rows that repeat a doc_id with the same text are packed once;
+different texts of a doc_id are documents of their own. Extra columns are ignored. The result
+depends on the distinct documents alone, not on their order or partitions. An empty table gives no
+sequences.
 """
 
 from __future__ import annotations
 
 import random
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from . import words
+from .common import id_text, written
+from .rans import Coder, vocabulary_path
 
-STATE = "block long, island int, ids array<long>, sizes array<int>, elite array<array<int>>"
-OUT = "bin_id long, doc_ids array<long>, starts array<int>, lengths array<int>, n_tokens int"
+STATE = "block long, island int, ids array<long>, marks array<long>, sizes array<int>, elite array<array<int>>"
+STATE_ARROW = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("elite", pa.list_(pa.list_(pa.int32())))])
+OUT = "bin_id long, doc_ids array<long>, starts array<int>, lengths array<int>, n_tokens int, tokens array<int>"
 
 
 def best_fit(items, sizes: list[int], capacity: int, bins: list[list[int]], room: list[int]) -> None:
@@ -53,6 +63,24 @@ def fitness(bins: list[list[int]], room: list[int], capacity: int) -> float:
     return sum((1 - r / capacity) ** 2 for r in room) / len(bins) if bins else 0.0
 
 
+def exchange(loose: list[int], sizes: list[int], bins: list[list[int]], room: list[int], most: int = 40) -> list[int]:
+    """Loose documents take the place of smaller ones where they fill a sequence better; what is loose then. Looks at the sequences with least room first."""
+    free = sorted((sizes[i], i) for i in loose)
+    for k in sorted((k for k, r in enumerate(room) if r), key=lambda k: (room[k], k))[:most]:
+        best = None
+        for at, i in enumerate(bins[k]):
+            j = bisect_right(free, (sizes[i] + room[k], 1 << 62)) - 1
+            if j >= 0 and free[j][0] > sizes[i] and (best is None or free[j][0] - sizes[i] > best[0]):
+                best = (free[j][0] - sizes[i], at, j)
+        if best:
+            gain, at, j = best
+            (_, new), old = free.pop(j), bins[k][at]
+            bins[k][at] = new
+            room[k] -= gain
+            insort(free, (sizes[old], old))
+    return [i for _, i in free]
+
+
 def crossover(a, b, sizes, capacity, rng: random.Random):
     """Well-filled bins of b, whole, into a; bins of a that share a document go, and what they displace is put back by best fit."""
     (abins, aroom), (bbins, broom) = a, b
@@ -63,7 +91,7 @@ def crossover(a, b, sizes, capacity, rng: random.Random):
     room = [broom[k] for k in pick] + [aroom[k] for k in keep]
     kept = set(keep)
     loose = [i for k, x in enumerate(abins) if k not in kept for i in x if i not in held]
-    best_fit(sorted(loose, key=lambda i: (-sizes[i], i)), sizes, capacity, out, room)
+    best_fit(sorted(exchange(loose, sizes, out, room), key=lambda i: (-sizes[i], i)), sizes, capacity, out, room)
     return out, room
 
 
@@ -75,7 +103,7 @@ def mutate(s, sizes, capacity, rng: random.Random):
     out, left = [list(x) for k, x in enumerate(bins) if k not in gone], [r for k, r in enumerate(room) if k not in gone]
     loose = [i for k in sorted(gone) for i in bins[k]]
     rng.shuffle(loose)
-    best_fit(sorted(loose, key=lambda i: -sizes[i]), sizes, capacity, out, left)
+    best_fit(sorted(exchange(loose, sizes, out, left), key=lambda i: -sizes[i]), sizes, capacity, out, left)
     return out, left
 
 
@@ -152,38 +180,81 @@ def _groups(batches) -> Iterator[list[dict]]:
 
 def _migrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for own in _groups(batches):
-        schema = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("elite", pa.list_(pa.list_(pa.int32())))])
-        yield pa.RecordBatch.from_pylist([r | {"elite": r["elite"] + own[k - 1]["elite"] * (len(own) > 1)} for k, r in enumerate(own)], schema)
+        yield pa.RecordBatch.from_pylist([r | {"elite": r["elite"] + own[k - 1]["elite"] * (len(own) > 1)} for k, r in enumerate(own)], STATE_ARROW)
+
+
+def _tokenise(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = words.kept(("coder", path), lambda: Coder(path))
+        for b in words.seen(batches):
+            out = [coder.encode(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // np.dtype(coder.kind).itemsize for x in out], pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "mark", "n", "ids"])
+
+    return run
+
 
+def _layout(own: list[dict], capacity: int) -> list[tuple[list, list, list]]:
+    """Places in the block's lists, starts and lengths of each sequence of the best island."""
+    sizes = own[0]["sizes"]
+    rest = [k for k, s in enumerate(sizes) if s % capacity]
+    small = _rests(sizes, capacity)
+    bins, _ = max((_solution(r["elite"][0], small, capacity) for r in own), key=lambda s: fitness(*s, capacity))
+    rows = [([rest[i] for i in x], [sizes[rest[i]] - small[i] for i in x], [small[i] for i in x]) for x in bins]
+    return rows + [([k], [at], [capacity]) for k, s in enumerate(sizes) for at in range(0, s - capacity + 1, capacity)]
+
+
+def _emit(capacity: int, kind, most: int = 1 << 20):
+    """Rows come sorted by block and kind: the islands of a block, then its documents with their tokens."""
+
+    def put(own: list[dict], tokens: dict):
+        ids, marks, block = own[0]["ids"], own[0]["marks"], own[0]["block"]
+        rows = _layout(own, capacity)
+        per = max(1, most // capacity)
+        for lo in range(0, len(rows), per):
+            part = rows[lo : lo + per]
+            flat = [np.frombuffer(tokens[ids[k], marks[k]], kind)[a : a + n].astype(np.int32) for x in part for k, a, n in zip(*x)]
+            size = [sum(x[2]) for x in part]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(block << 24) + lo + k for k in range(len(part))], pa.int64()), pa.array([[ids[k] for k in x[0]] for x in part], pa.list_(pa.int64())), *(pa.array([x[j] for x in part], pa.list_(pa.int32())) for j in (1, 2)), pa.array(size, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(flat))),
+                ],
+                names=["bin_id", "doc_ids", "starts", "lengths", "n_tokens", "tokens"],
+            )
 
-def _emit(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _groups(batches):
-            ids, sizes = own[0]["ids"], own[0]["sizes"]
-            rest = [k for k, s in enumerate(sizes) if s % capacity]
-            small = _rests(sizes, capacity)
-            bins, _ = max((_solution(r["elite"][0], small, capacity) for r in own), key=lambda s: fitness(*s, capacity))
-            rows = [([ids[rest[i]] for i in x], [sizes[rest[i]] - small[i] for i in x], [small[i] for i in x]) for x in bins]
-            rows += [([d], [at], [capacity]) for d, s in zip(ids, sizes) for at in range(0, s - capacity + 1, capacity)]
-            first = own[0]["block"] << 24
-            for lo in range(0, len(rows), 5000):
-                part = rows[lo : lo + 5000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([first + lo + k for k in range(len(part))], pa.int64()), pa.array([x[0] for x in part], pa.list_(pa.int64())), *(pa.array([x[j] for x in part], pa.list_(pa.int32())) for j in (1, 2)), pa.array([sum(x[2]) for x in part], pa.int32())],
-                    names=["bin_id", "doc_ids", "starts", "lengths", "n_tokens"],
-                )
+        own: list[dict] = []
+        tokens: dict = {}
+        for b in words.seen(batches):
+            for block, sort, doc, mark, ids, state in zip(*(c.to_pylist() for c in b.columns)):
+                if own and own[0]["block"] != block:
+                    yield from put(own, tokens)
+                    own, tokens = [], {}
+                if not sort:
+                    own.append(state | {"block": block})
+                else:
+                    tokens.setdefault((doc, mark), ids)
+        if own:
+            yield from put(own, tokens)
 
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 2048, block_docs: int = 2000, islands: int = 3, epochs: int = 2, population: int = 6, generations: int = 8) -> DataFrame:
-    """One row a sequence: its documents, and the first word and number of words of each."""
-    base = id_text(docs).select("doc_id", F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")).alias("n")).filter("n > 0").distinct()
-    blocks = max(1, round(docs.count() / block_docs))
-    rows = base.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("x"))
-    rows = rows.select("block", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), F.col("x.doc_id").alias("ids"), F.col("x.n").alias("sizes"), F.array().cast("array<array<int>>").alias("elite"))
+def pack(docs: DataFrame, capacity: int = 2048, block_docs: int = 2000, islands: int = 3, epochs: int = 2, population: int = 6, generations: int = 8, path: str | None = None) -> DataFrame:
+    """One row a sequence: its documents, the first token and number of tokens of each, and the token ids."""
+    path = path or vocabulary_path()
+    base = id_text(docs).filter("text is not null").select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    tokens = written(base.mapInArrow(_tokenise(path), "doc_id long, mark long, n int, ids binary").filter("n > 0"), "packing-tokens")
+    sizes = written(tokens.select("doc_id", "mark", "n").distinct(), "packing-sizes")
+    blocks = max(1, round(sizes.count() / block_docs))  # from the files' footers
+    block = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(blocks)).alias("block")
+    rows = sizes.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("doc_id", "mark", "n"))).alias("x"))
+    rows = rows.select("block", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), F.col("x.doc_id").alias("ids"), F.col("x.mark").alias("marks"), F.col("x.n").alias("sizes"), F.array().cast("array<array<int>>").alias("elite"))
     for epoch in range(epochs):
         if epoch:
             rows = rows.repartition("block").sortWithinPartitions("block", "island").mapInArrow(_migrate, STATE)
         rows = rows.repartition("block", "island").mapInArrow(_island(capacity, population, generations, epoch), STATE)
-    return rows.repartition("block").sortWithinPartitions("block", "island").mapInArrow(_emit(capacity), OUT)
+    # written, so that a lost task of the last step evolves nothing again
+    state = written(rows, "packing-islands").select("block", F.lit(0).alias("sort"), F.col("island").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("mark"), F.lit(None).cast("binary").alias("ids"), F.struct("ids", "marks", "sizes", "elite").alias("state"))
+    parts = tokens.select(block, F.lit(1).alias("sort"), "doc_id", "mark", "ids").unionByName(state, allowMissingColumns=True)
+    return parts.repartition("block").sortWithinPartitions("block", "sort", "doc_id", "mark").mapInArrow(_emit(capacity, words.kept(("kind", path), lambda: Coder(path).kind)), OUT)

@@ -62,7 +62,7 @@ class Coder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as bytes of kind."""
-        return np.array(self.coder.encode_ordinary(text), self.kind).tobytes()
+        return self.coder.encode_to_numpy(text, disallowed_special=()).astype(self.kind).tobytes()
 
     def decode(self, ids) -> str:
         return self.coder.decode(list(map(int, ids)), errors="strict")
