@@ -7,14 +7,15 @@ the pool: one network for low quality, one for toxicity. A document is rejected
 score is at least one half.
 
 Fitting uses a bounded sample of labelled rows: at most ``per_class`` of each (quality, toxic)
-class, by hash of the id. Half of it gives the word evidence (log-odds in standard deviations,
+class, by hash of the id, and of each class the first rows that have ``class_bytes`` of text
+together, whole texts only. Half of it gives the word evidence (log-odds in standard deviations,
 by hashed word), the other half the networks, so that the networks see evidence from documents
 other than their own. Scoring reads every document once and shuffles nothing.
 
 Defined results. A null or empty text is one passage without words, and is scored. Rows without
 a doc_id are scored too. Labels with a null, or for ids that aren't there, are left out; an id
 with several labels has the worst. With fewer than two classes of a label, its score is 0.
-Repeated rows get the same scores. Extra columns pass through. An empty table gives an empty one.
+Repeated rows get the same scores; of several texts of a labelled id the least is fitted. Extra columns pass through. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,7 +212,7 @@ class Model:
         return np.concatenate(out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, class_bytes: int = 64 << 20) -> Model:
     clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
     one = clean.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     h = F.xxhash64("doc_id")
@@ -222,7 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
             sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most 4 * per_class ids, whatever the corpus: small enough to broadcast, and to fit in one task
-    rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select(h.alias("h"), "doc_id", "text", "quality", "toxic")
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy(h.alias("h"), "doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    w = Window.partitionBy("quality", "toxic").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(w)
+    rows = rows.withColumn("total", total).filter(F.col("total") <= class_bytes).select("h", "doc_id", "text", "quality", "toxic")
     trained = rows.repartition(1).mapInArrow(_train, "model binary").first()
     return pickle.loads(trained["model"]) if trained else Model([], np.zeros((0, 2), int))
 
@@ -260,6 +264,6 @@ def scores(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFra
 
 
 def accepted(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
-    """The documents that aren't rejected, with the columns of docs."""
+    """The documents that aren't rejected, with the columns of docs. Null texts say nothing and stay."""
     names = fresh(docs, "low", "tox", "rejected")
-    return classify(docs, labels, per_class, names).filter(~F.col(names[2])).drop(*names)
+    return classify(docs, labels, per_class, names).filter(~F.col(names[2]) | F.col("text").isNull()).drop(*names)
