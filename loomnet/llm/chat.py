@@ -14,8 +14,8 @@ Defined results. Events without a conversation or sequence are left out. A null
 message, a null role is ``unknown``, a null text is empty; an unknown kind counts as a
 message, and a target that isn't there falls back as if none were given. Rows that repeat in
 all six fields count once; different events of one sequence are taken in order of kind
-(message, regenerate, delta, edit, others), role, target and text. Control marks in texts are
-broken up so that they can't end a message. Extra columns are ignored. A conversation with no
+(message, regenerate, delta, edit, others), role, target and text. Control marks in texts and roles
+are broken up, and line ends in roles become spaces, so that neither can end a message or open one. Extra columns are ignored. A conversation with no
 events has no row.
 """
 
@@ -31,6 +31,7 @@ OUT = "conv_id long, n_messages int, text string"
 
 
 def _render(role: str, text: str) -> str:
+    role = role.replace("<|", "< |").replace("\r", " ").replace("\n", " ")
     return f"<|im_start|>{role}\n{text.replace('<|', '< |')}<|im_end|>\n"
 
 
@@ -105,9 +106,27 @@ def format_chats(events: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "rank", "kind", "role", "target", "text").mapInArrow(_fold_sorted, OUT)
 
 
+def streamed(conversations: DataFrame) -> DataFrame:
+    """An event log whose final state is the table of messages (conv_id, turn, role, text): each message is opened with a draft that an edit or a regeneration replaces, or streamed as deltas."""
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).filter("conv_id is not null and turn is not null").distinct()
+    at, half = F.col("turn") * 10, (F.length("text") / 2).cast("int")
+    event = lambda k, kind, text, target=None: F.struct((at + k).alias("turn"), F.lit(kind).alias("kind"), (F.lit(None).cast("long") if target is None else target).alias("target"), F.col("role"), text.alias("text"))
+    first, second = F.left("text", half), F.substr("text", half + 1, F.length("text"))
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    logs = (
+        F.when(way == 0, F.array(event(0, "message", first), event(1, "delta", second, at)))
+        .when(way == 1, F.array(event(0, "message", F.lit("a draft")), event(1, "edit", F.col("text"), at)))
+        .otherwise(F.array(event(0, "message", F.lit("a draft")), event(1, "regenerate", first, at), event(2, "delta", second, at + 1)))
+    )
+    return rows.select("conv_id", F.explode(logs).alias("e")).select("conv_id", "e.*")
+
+
 SQL = """
 SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages,
-       string_agg('<|im_start|>' || role || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+       string_agg('<|im_start|>' || replace(replace(replace(role, '<|', '< |'), chr(13), ' '), chr(10), ' ') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
 FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
       WHERE conv_id IS NOT NULL AND turn IS NOT NULL) GROUP BY conv_id
 """
+
+#: streamed() takes repeated rows once, and messages keep their order by turn.
+EVENTS_SQL = SQL

@@ -14,6 +14,7 @@ def queries() -> dict:
         "op4_decontaminate": lambda s, d: decontaminate.contaminated(table(s, d, "documents"), table(s, d, "benchmark")),
         "op5_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op6_chat_format": lambda s, d: chat.format_chats(table(s, d, "conversations")),
+        "chat_events_folded": lambda s, d: chat.format_chats(chat.streamed(table(s, d, "conversations"))),
         "op7_top_k": lambda s, d: bm25.top_k(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_secret_scan": lambda s, d: secrets.secret_scan(table(s, d, "documents")),
         "op9_token_blocks": lambda s, d: rans.token_blocks(table(s, d, "documents")),
@@ -30,4 +31,4 @@ SELECT d.doc_id, t.cut AS text, d.lang, d.source, d.n_chars, t.n_removed FROM do
 
 
 def oracle_sql() -> dict:
-    return {"op7_top_k": bm25.SQL, "op6_chat_format": chat.SQL, "op8_secret_scan": secrets.SQL, "op10_line_dedup": LINE_SQL}
+    return {"op7_top_k": bm25.SQL, "op6_chat_format": chat.SQL, "chat_events_folded": chat.EVENTS_SQL, "op8_secret_scan": secrets.SQL, "op10_line_dedup": LINE_SQL}
