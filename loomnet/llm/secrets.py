@@ -7,7 +7,8 @@ findings: what scan() found is kept beside it and given back with it, for new pa
 
 Defined results. A null text is no version; an empty one is a blob without findings. Rows
 without a doc_id have no path and are left out. Rows that repeat count once; a doc_id with
-several texts is a path with several versions. Extra columns are ignored. Findings carry the
+several texts is a path with several versions. Ledger rows with a null blob, rule or version say
+nothing, and findings with one are left out. Extra columns are ignored. Findings carry the
 hash of the secret, not the secret. An empty table gives no findings.
 """
 
@@ -29,8 +30,6 @@ RULES = [
     ("password", 1, r"[Pp]assword[=:][^ \t\n\r\x22']{6,}"),
     ("quoted_hex", 2, r"\x22[0-9A-Fa-f]{40}\x22"),
 ]
-#: The rules that SQL states. It still has quoted_hex 1, lower case only: the operator finds more than it.
-SQL_RULES = [("quoted_hex", 1, r"\x22[0-9a-f]{40}\x22") if r[0] == "quoted_hex" else r for r in RULES]
 
 
 def versions_of(docs: DataFrame) -> DataFrame:
@@ -44,7 +43,7 @@ def pending(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> Da
     if ledger is None:
         return blobs.select("blob", "doc_id", names.alias("rules"))
     pairs = blobs.select("blob", "doc_id", F.explode(names).alias("r")).select("blob", "doc_id", "r.rule", "r.version")
-    known = ledger.select("blob", "rule", F.col("version").cast("int").alias("version")).distinct()
+    known = ledger.select("blob", "rule", F.col("version").cast("int").alias("version")).dropna().distinct()
     return pairs.join(known, ["blob", "rule", "version"], "left_anti").groupBy("blob", "doc_id").agg(F.collect_list(F.struct("rule", "version")).alias("rules"))
 
 
@@ -78,13 +77,13 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, f
     found = scan(docs, ledger, rules)[0]
     if findings is not None:
         now = docs.sparkSession.createDataFrame([(r, v) for r, v, _ in rules], "rule string, version int")  # superseded versions stay behind
-        kept = findings.select("blob", "rule", F.col("version").cast("int").alias("version"), "secret", F.col("n").cast("int").alias("n"))
+        kept = findings.select("blob", "rule", F.col("version").cast("int").alias("version"), "secret", F.col("n").cast("int").alias("n")).dropna()
         found = found.unionByName(kept.join(F.broadcast(now), ["rule", "version"], "left_semi")).distinct()
     return paths.join(found, "blob").select("doc_id", "blob", "rule", "version", "secret", "n")
 
 
 def _sql() -> str:
-    one = " UNION ALL ".join(f"SELECT blob, '{r}' AS rule, {v} AS version, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS m FROM blobs" for r, v, p in SQL_RULES)
+    one = " UNION ALL ".join(f"SELECT blob, '{r}' AS rule, {v} AS version, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS m FROM blobs" for r, v, p in RULES)
     return f"""
 WITH versions AS (SELECT doc_id, text, sha256(text) AS blob FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 blobs AS (SELECT blob, any_value(text) AS text FROM versions GROUP BY blob),
