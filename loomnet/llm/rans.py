@@ -3,7 +3,8 @@
 1. Texts become token ids with a public vocabulary; ids are written once to the shared folder.
 2. One table of frequencies over the whole corpus, scaled to 2^``SCALE``, serves all blocks.
    Every id has a frequency of one at least, so that any text can be coded with it.
-3. Documents are laid out in blocks of about ``block_tokens`` tokens. A block is coded on its
+3. Documents are laid out in blocks of at most ``block_tokens`` tokens; one that doesn't fit goes on
+   in the next block of its task, and starts says where in the document a piece begins. A block is coded on its
    own by ``LANES`` interleaved coders, token i by coder i mod LANES, 32 bits at a time into
    one stream. Every ``every`` steps a checkpoint holds the place in the stream and the states
    of all coders, so that the parts between checkpoints decode in parallel. A CRC-32 of the
@@ -37,7 +38,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SCALE = 22
 LANES = 256
 LOW = np.uint64(1 << 31)
-OUT = "block_id long, doc_ids array<long>, lengths array<int>, n_tokens int, lanes int, words binary, states binary, checkpoint_at array<int>, checkpoint_states binary, crc32 long, every int, table_id string"
+OUT = "block_id long, doc_ids array<long>, starts array<int>, lengths array<int>, n_tokens int, lanes int, words binary, states binary, checkpoint_at array<int>, checkpoint_states binary, crc32 long, every int, table_id string"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -186,28 +187,34 @@ def _blocks(held, kind, block_tokens: int, every: int):
         freq = held.value
         start = np.cumsum(freq) - freq
         name = table_id(freq)
-        task, number, docs, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        task, number, docs, starts, parts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush():
             ids = np.concatenate(parts)
             stream, states, marks, at = encode_block(ids, freq, start, every)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(task << 32) + number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int32())), pa.array([len(ids)], pa.int32()), pa.array([LANES], pa.int32()),
+                    pa.array([(task << 32) + number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int32())), pa.array([[len(p) for p in parts]], pa.list_(pa.int32())), pa.array([len(ids)], pa.int32()), pa.array([LANES], pa.int32()),
                     pa.array([stream.tobytes()], pa.binary()), pa.array([states.tobytes()], pa.binary()), pa.array([marks], pa.list_(pa.int32())), pa.array([b"".join(x.tobytes() for x in at)], pa.binary()), pa.array([zlib.crc32(ids.astype("<u4").tobytes())], pa.int64()),
                     pa.array([every], pa.int32()), pa.array([name]),
                 ],
-                names=["block_id", "doc_ids", "lengths", "n_tokens", "lanes", "words", "states", "checkpoint_at", "checkpoint_states", "crc32", "every", "table_id"],
+                names=["block_id", "doc_ids", "starts", "lengths", "n_tokens", "lanes", "words", "states", "checkpoint_at", "checkpoint_states", "crc32", "every", "table_id"],
             )
 
         for b in words.seen(batches):
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                docs.append(doc)
-                parts.append(np.frombuffer(raw, kind))
-                size += len(parts[-1])
-                if size >= block_tokens:
-                    yield flush()
-                    number, docs, parts, size = number + 1, [], [], 0
+                ids, at = np.frombuffer(raw, kind), 0
+                while True:
+                    k = min(len(ids) - at, block_tokens - size)
+                    docs.append(doc)
+                    starts.append(at)
+                    parts.append(ids[at : at + k])
+                    size, at = size + k, at + k
+                    if size >= block_tokens:
+                        yield flush()
+                        number, docs, starts, parts, size = number + 1, [], [], [], 0
+                    if at >= len(ids):
+                        break
         if docs:
             yield flush()
 
@@ -236,3 +243,19 @@ def token_blocks(docs: DataFrame, path: str | None = None, block_tokens: int = 1
     if id_text(docs).isEmpty():
         table = table.limit(0)
     return blocks.withColumn("freq", F.lit(None).cast("binary")).unionByName(table, allowMissingColumns=True)
+
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """(block_id, doc_id, start, tokens) from the rows of token_blocks(), every block decoded and checked on its own."""
+    tables = {r["table_id"]: table_of(r) for r in rows.filter("freq is not null").select("table_id", "freq").collect()}  # one row a corpus
+    held = rows.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in words.seen(batches):
+            for r in b.to_pylist():
+                ids = decode_block(r, held.value[r["table_id"]]).astype(np.int32)
+                at = np.cumsum([0, *r["lengths"]]).astype(np.int32)
+                n = len(r["doc_ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["block_id"]] * n, pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["starts"], pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(ids))], names=["block_id", "doc_id", "start", "tokens"])
+
+    return rows.filter("freq is null").drop("freq").mapInArrow(run, "block_id long, doc_id long, start int, tokens array<int>")
