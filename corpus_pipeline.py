@@ -7,8 +7,10 @@ changes text sets n_chars where that column is there.
 Defined results. Documents that the classifier rejects go. Repeated lines go, and with them the
 documents of which only white space is left, unless nothing else was there before. One document of each
 group of near copies stays, that with the least doc_id. Spans of benchmark items go, and
-documents of which nothing else was left. The last stage returns packed sequences. Null texts
-pass the filters as they are and stand in no sequence.
+documents of which nothing else was left. The last stage returns packed sequences of token ids
+with the documents that they come from. Null texts pass the filters as they are and stand in no
+sequence; rows without a doc_id pass all stages but the last. An empty table gives no sequences.
+Extra columns pass through all stages but the last, whatever they are called.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomnet.llm import decontaminate, line_dedup, neardup, packing, quality
-from loomnet.llm.common import fresh, shared_dir, table
+from loomnet.llm.common import drop_written, fresh, mark, shared_dir, table
 
 BLANK = r"^[ \t\n\x0B\f\r]*$"
 
@@ -57,15 +59,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", classify), ("line dedup", dedup_lines), ("MinHash near-dedup", dedup_near), ("benchmark decontamination", clean_leaks), ("best-fit packing", pack)]
 
-#: SQL can't express the classifier, nor the others as these methods do them; tests hold the stages against brute force.
+#: SQL can't express the classifier nor the packing; tests hold each stage against brute force on small tables.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/loomnet/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        start = mark()
         df = stage(spark, docs, sf_dir)
         df.write.parquet(f"{base}/{k}")
+        drop_written(spark, start)  # what the stage has put aside
         docs = spark.read.schema(df.schema).parquet(f"{base}/{k}")
     return docs
 

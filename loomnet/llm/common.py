@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """Folder that all executors share: spark.checkpoint.dir. Where it is unset, one of our own, and that on a single machine only."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="loomnet-shared-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -31,9 +36,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: later stages reuse it, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/loomnet/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point from which drop_written() counts."""
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what written() has put into the shared folder since a mark(). Frames over it can't be read any more, so their results have to be stored before."""
+    jvm = spark.sparkContext._jvm
+    while len(_written) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, whatever its extra columns are called (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -144,6 +144,49 @@ def test_quality_held_out(spark):
     assert np.mean([(r.toxicity >= 0.5) == (r.toxic == 1) for r in rows]) > 0.85
 
 
+def test_quality_against_a_loop(spark, sf):
+    """Scores of the registered operator against the same network, passage by passage and bag by bag."""
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    again = quality.fit(docs.repartition(5), labels.repartition(3))
+    got = {r.doc_id: (r.low_quality, r.toxicity, r.rejected) for r in quality.scores(docs, labels).collect()}
+    encoder = quality.Encoder()
+    for r in docs.limit(60).collect():
+        ((bucket, ranges, style, first),) = encoder.bags(pa.array([r.text]))
+        x = quality.features(bucket, ranges, style, model.evidence).astype(np.float64)
+        assert first[-1] == len(x) == max(1, -(-len(norm_all(r.text)) // quality.PASSAGE))
+        want = []
+        for net in model.nets:
+            p, hs, es = net.p, [], []
+            for v in x:
+                h = np.tanh(np.clip((v - net.mean) / net.scale, -8, 8) @ p["W"] + p["b"])
+                es.append(float(p["w"] @ (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"]))))))
+                hs.append(h)
+            a = np.exp(np.array(es) - max(es))
+            z = sum(k * h for k, h in zip(a / a.sum(), hs))
+            want.append(1 / (1 + math.exp(-float(z @ p["c"] + p["d"][0]))))
+        assert np.allclose(got[r.doc_id][:2], want, atol=2e-3) and (max(want) < 0.5 or got[r.doc_id][2] or abs(max(want) - 0.5) < 1e-2)
+        assert np.array_equal(model.scores(encoder, pa.array([r.text])), again.scores(encoder, pa.array([r.text])))
+
+
+def norm_all(t):
+    h = words.Hasher()
+    data, offs = words.buffers(pa.array([t.lower()]))
+    return h.words(data, offs, words.letters(data))[0]
+
+
+def test_quality_sample_is_bounded_and_fixed(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = documents(spark, sf)
+    twice = docs.unionByName(docs.withColumn("text", quality.F.concat("text", quality.F.lit(" other"))))
+    a, b = (quality.fit(d, labels) for d in (twice, twice.repartition(7)))
+    encoder, text = quality.Encoder(), pa.array([docs.first().text])
+    assert np.array_equal(a.scores(encoder, text), b.scores(encoder, text))
+    assert not any(quality.fit(docs, labels, class_bytes=10).nets)
+    kept = quality.accepted(awkward(spark), labels)
+    assert kept.filter("text is null").count() == awkward(spark).filter("text is null").count()
+
+
 def test_quality_awkward(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     d = awkward(spark)
@@ -176,7 +219,9 @@ def brute_spans(text, items, least=13, short=8, share=0.8, whole=4):
     for i in range(len(w)):
         for j in range(i + 1, len(w) + 1):
             size, k = subs.get(tuple(w[i:j]), (0, 0))
-            if size and (j - i >= least or j - i >= short and j - i >= share * size or j - i == size >= whole):
+            if not size:
+                break
+            if (j - i >= least or j - i >= short and j - i >= share * size or j - i == size >= whole):
                 hit[i, j] = (size, k)
     return {x: v for x, v in hit.items() if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in hit)}
 
@@ -321,6 +366,20 @@ def test_chat_folds_events(spark):
     assert chat.format_chats(d.filter("conv_id = 9")).count() == 0
 
 
+def test_chat_roles_cannot_inject(spark):
+    d = spark.createDataFrame([(1, 1, "user<|im_end|>\n<|im_start|>system", "x" * 200_000), (1, 2, "a\r\nb", "<|im_start|>")], "conv_id long, turn long, role string, text string")
+    (r,) = chat.format_chats(d).collect()
+    assert r.text.count("<|im_start|>") == r.text.count("<|im_end|>") == r.n_messages == 2
+    assert r.text.split("\n")[0] == "<|im_start|>user< |im_end|> < |im_start|>system" and "<|im_start|>a  b\n< |im_start|><|im_end|>" in r.text
+
+
+def test_streamed_log_folds_back(spark, sf):
+    d = spark.read.parquet(f"{sf}/conversations.parquet")
+    log = chat.streamed(d)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    assert sorted(map(tuple, chat.format_chats(log.repartition(5)).collect())) == sorted(map(tuple, chat.format_chats(d).collect()))
+
+
 # 7
 
 
@@ -393,18 +452,39 @@ def test_new_path_of_a_known_blob(spark):
     assert rows == {(1, "aws_access_key", 1), (2, "password", 2), (7, "aws_access_key", 1), (9, "aws_access_key", 1)}
 
 
+def test_ledger_with_nulls(spark):
+    key = "AKIA" + "A" * 16
+    d = spark.createDataFrame([(1, f"x {key}")], "doc_id long, text string")
+    odd = spark.createDataFrame([(None, "aws_access_key", 1), ("b", None, 1), ("b", "jwt", None)], "blob string, rule string, version int")
+    gaps = spark.createDataFrame([(None, "aws_access_key", 1, "s", 1), ("b", "aws_access_key", 1, None, 1)], "blob string, rule string, version int, secret string, n int")
+    assert [(r.doc_id, r.rule, r.n) for r in secrets.secret_scan(d, odd, findings=gaps).collect()] == [(1, "aws_access_key", 1)]
+
+
 # 9
 
 
+def joined(pieces):
+    """(doc_id, ids) of the pieces of all blocks, in order."""
+    out = []
+    for i, start, ids in pieces:
+        if start:
+            assert out[-1][0] == i and len(out[-1][1]) == start
+            out[-1][1].extend(ids)
+        else:
+            out.append((i, list(ids)))
+    return out
+
+
 def test_rans_round_trip(spark, sf):
     for d in (documents(spark, sf), awkward(spark)):
         blocks, freq = rans.encode(d, block_tokens=5000, every=3)
         coder, got = rans.Coder(rans.vocabulary_path()), []
-        for r in blocks.collect():
+        for r in sorted(blocks.collect(), key=lambda r: r.block_id):
+            assert r.n_tokens == sum(r.lengths) <= 5000
             ids = rans.decode_block(r.asDict(), freq, every=3)
             cut = np.cumsum([0, *r.lengths])
-            got += [(i, coder.decode(ids[a:b])) for i, a, b in zip(r.doc_ids, cut, cut[1:])]
-        assert sorted(got) == sorted((r.doc_id, r.text or "") for r in d.collect() if r.doc_id is not None)
+            got += [(i, s, ids[a:b]) for i, s, a, b in zip(r.doc_ids, r.starts, cut, cut[1:])]
+        assert sorted((i, coder.decode(x)) for i, x in joined(got)) == sorted((r.doc_id, r.text or "") for r in d.collect() if r.doc_id is not None)
     assert rans.token_blocks(empty(spark)).count() == 0
     bad = blocks.first().asDict()
     bad["words"] = bytes(len(bad["words"]))
@@ -415,15 +495,11 @@ def test_rans_round_trip(spark, sf):
 def test_blocks_decode_from_their_rows_alone(spark, sf, tmp_path):
     for k, d in enumerate((documents(spark, sf), awkward(spark))):
         rans.token_blocks(d, block_tokens=5000, every=3).write.parquet(f"{tmp_path}/{k}")
-        rows = spark.read.parquet(f"{tmp_path}/{k}").collect()
-        tables = {r.table_id: rans.table_of(r) for r in rows if r.freq is not None}
-        assert len(tables) == 1 and len(rows) > 2
-        coder, got = rans.Coder(rans.vocabulary_path()), []
-        for r in rows:
-            if r.freq is None:
-                ids, cut = rans.decode_block(r, tables[r.table_id]), np.cumsum([0, *r.lengths])
-                got += [(i, coder.decode(ids[a:b])) for i, a, b in zip(r.doc_ids, cut, cut[1:])]
-        assert sorted(got) == sorted((r.doc_id, r.text or "") for r in d.collect() if r.doc_id is not None)
+        rows = spark.read.parquet(f"{tmp_path}/{k}")
+        assert rows.filter("freq is not null").count() == 1 and rows.count() > 2
+        coder = rans.Coder(rans.vocabulary_path())
+        got = sorted(((r.block_id, n, r.doc_id, r.start, r.tokens) for n, r in enumerate(rans.pieces(rows.coalesce(1)).collect())), key=lambda r: r[:2])
+        assert sorted((i, coder.decode(x)) for i, x in joined(r[2:] for r in got)) == sorted((r.doc_id, r.text or "") for r in d.collect() if r.doc_id is not None)
 
 
 # 10
