@@ -13,8 +13,11 @@ Words are runs of bytes other than ASCII white space, compared byte for byte.
 3. Each remaining content is fetched once, from its first occurrence, and sent to its bucket.
    There a generalised suffix array over the bucket's contents is built by two-stage sorting:
    suffixes smaller than their successors are sorted directly, the others are induced by
-   scanning buckets in order. Adjacent common prefixes of at least ``min_words`` words then
+   scanning buckets in order. Lengths of adjacent common prefixes, up to ``min_words``, then
    give the classes of equal windows, and the first occurrence of each class.
+   Where many contents differ but share their anchor, as around boilerplate, a bucket may pass
+   ``bucket_bytes``: it is split into its windows, which fold by a 128-bit hash, with partial
+   aggregation, so that no task holds such a bucket.
 4. The windows found go back to all occurrences of their content, and are merged to spans.
 
 Defined results. A null or short text has no windows. Rows without a doc_id are left out.
@@ -198,39 +201,80 @@ def two_stage(t: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Whether each suffix shares at least ``most`` values with the one before it in sa."""
-    # windows are equal where their hashes are; hashes of all windows come from log steps
-    g = words.grams(words.mix(t.astype(np.uint64) + np.uint64(1)), most)
-    out = np.zeros(len(sa), bool)
-    out[1:] = g[sa[1:]] == g[sa[:-1]]
-    at = np.flatnonzero(out)
+    """How many values each suffix shares with the one before it in sa, up to most. Found by hashes of blocks of halving size; those of length most are confirmed value by value."""
+    n, width, q = len(t), 1, 0xD6E8FEB86659FD93
+    blocks = [(1, words.mix(t.astype(np.uint64) + np.uint64(1)))]
+    while width * 2 <= most:
+        cur = blocks[-1][1]
+        nxt = cur.copy()
+        if n > width:
+            nxt[:-width] += cur[width:] * words.U(pow(q, width, 1 << 64))
+        width *= 2
+        blocks.append((width, nxt))
+    out = np.zeros(len(sa), np.int64)
+    a, b, size = sa[1:], sa[:-1], np.zeros(max(len(sa) - 1, 0), np.int64)
+    far = np.maximum(a, b)
+    for width, h in reversed(blocks):
+        at = np.flatnonzero(far + size + width <= n)
+        at = at[h[a[at] + size[at]] == h[b[at] + size[at]]]
+        size[at] += width
+    out[1:] = np.minimum(size, most)
+    at = np.flatnonzero(out == most)
     a, b = sa[at], sa[at - 1]
-    ok = np.maximum(a, b) + most <= len(t)
-    at, a, b = at[ok], a[ok], b[ok]
-    out[:] = False
     for lo in range(0, len(at), 1 << 18):
         x, y = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
         same = np.ones(len(x), bool)
         for k in range(most):
             same &= t[x + k] == t[y + k]
-        out[at[lo : lo + (1 << 18)]] = same
+        out[at[lo : lo + (1 << 18)][~same]] = 0
     return out
 
 
-def _repeats(hasher: words.Hasher, rows: dict, min_words: int):
-    """For contents of whole buckets: (content, first window, windows, is first) of windows that occur again."""
-    raw = pa.array(rows["raw"], pa.binary())
-    data, offs = words.buffers(raw)
+def _right(hasher: words.Hasher, rows: dict, min_words: int):
+    """Word hashes of contents, their offsets by row, offsets of bytes, and the rows that are their content, each once: a row of another text of the same doc_id isn't, and repeated rows give a content twice."""
+    data, offs = words.buffers(pa.array(rows["raw"], pa.binary()))
     s, e, wo = hasher.words(data, offs)
     h = hasher.ranges(data, s, e)
-    # a row of another text of the same doc_id isn't its content, and repeated rows give a content twice
     pref = np.zeros(len(h) + 1, np.uint64)
     hasher.grow(len(h))
     np.cumsum(h * hasher.pw[: len(h)], out=pref[1:])
     size = np.asarray(rows["n"], np.int64)
     content = words.mix((pref[wo[1:]] - pref[wo[:-1]]) * hasher.inv[np.minimum(wo[:-1], len(h))] + size.astype(np.uint64)).view(np.int64)
     right = np.flatnonzero((content == np.asarray(rows["content"], np.int64)) & (np.diff(wo) == size + min_words - 1))
-    right = right[np.unique(content[right], return_index=True)[1]]
+    return h, wo, offs, right[np.unique(content[right], return_index=True)[1]]
+
+
+def _windows(min_words: int):
+    """Rows of contents become rows of their windows: 128 bits of hash, content and place in it, document and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = words.Hasher()
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                rows = {k: v for k, v in zip(b.schema.names, (c.to_pylist() for c in b.slice(lo, 2000).columns))}
+                h, wo, _, right = _right(hasher, rows, min_words)
+                n = np.asarray(rows["n"], np.int64)[right]
+                row = np.repeat(right, n)
+                off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                at = wo[row] + off
+                one, two = words.grams(h, min_words), words.grams(words.mix(h + np.uint64(0x9E3779B97F4A7C15)), min_words)
+                take = lambda k: np.asarray(rows[k], np.int64)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one[at].view(np.int64), two[at].view(np.int64), take("content"), off.astype(np.int32), take("doc_id"), (take("place") + off).astype(np.int32), take("copies"))], names=["w1", "w2", "content", "off", "doc_id", "at", "copies"])
+
+    return run
+
+
+def _split(sliced: DataFrame, min_words: int) -> DataFrame:
+    """(content, off, len, is_first) of the windows of contents that occur again, by folding windows."""
+    every = written(sliced.mapInArrow(_windows(min_words), "w1 long, w2 long, content long, off int, doc_id long, at int, copies long"), "suffix-windows")
+    again = every.groupBy("w1", "w2").agg(F.sum("copies").alias("total"), F.min(F.struct("doc_id", "at")).alias("first")).filter("total > 1").select("w1", "w2", "first")
+    return every.join(again, ["w1", "w2"]).select("content", "off", F.lit(1).alias("len"), (F.struct("doc_id", "at") == F.col("first")).alias("is_first"))
+
+
+def _repeats(hasher: words.Hasher, rows: dict, min_words: int):
+    """For contents of whole buckets: (content, first window, windows, is first) of windows that occur again."""
+    h, wo, offs, right = _right(hasher, rows, min_words)
+    size = np.asarray(rows["n"], np.int64)
     if len(right) < len(size):
         return _repeats(hasher, {k: [v[i] for i in right] for k, v in rows.items()}, min_words) if len(right) else ([], [], [], [])
     # one text: the words of each content and a mark of its own after it
@@ -247,7 +291,7 @@ def _repeats(hasher: words.Hasher, rows: dict, min_words: int):
     t[at] = rank[code] + n
     t[start + count] = np.arange(n)[::-1]  # marks are least and differ, the last is 0
     sa = two_stage(t, min_words + 1)
-    same = common_prefixes(t, sa, min_words)
+    same = common_prefixes(t, sa, min_words) >= min_words
     group = np.cumsum(~same)
     where = np.searchsorted(start, sa, "right") - 1
     off = sa - start[where]
@@ -320,7 +364,7 @@ def _merge(min_words: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 50, bucket_bytes: int = 32 << 20) -> DataFrame:
     """Spans [start_word, end_word) that occur more than once. kept: made of windows at their first occurrence; the other spans are what dedup removes."""
     base = id_text(docs).filter("text is not null")
     runs = written(base.mapInArrow(_runs(min_words), RUNS), "suffix-runs")
@@ -332,7 +376,15 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     wanted = written(contents.join(buckets, "bucket", "left_semi"), "suffix-contents")
     lists = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("bucket", "content", "first.doc_id", "first.place", "first.n", "copies", "first.first_byte", "first.end_byte")).alias("runs"))
     sliced = base.join(lists.hint("shuffle_hash"), "doc_id").select("text", "runs").mapInArrow(_slice, "bucket long, content long, doc_id long, place int, n int, copies long, raw binary")
+    width = F.col("first.end_byte") - F.col("first.first_byte")
+    large = written(wanted.groupBy("bucket").agg(F.sum(width.cast("long")).alias("bytes")).filter(F.col("bytes") > bucket_bytes).select("bucket"), "large-buckets")
+    split = None
+    if not large.isEmpty():
+        sliced = written(sliced, "suffix-slices")
+        split = _split(sliced.join(large, "bucket", "left_semi"), min_words)
+        sliced = sliced.join(large, "bucket", "left_anti")
     found = sliced.repartition("bucket").sortWithinPartitions("bucket", "content", "doc_id").mapInArrow(_search(min_words), "content long, off int, len int, is_first boolean")
+    found = found if split is None else found.unionByName(split)
     firsts = wanted.select("content", "first")
     hits = runs.join(found, "content").join(firsts, "content")
     own = (F.col("is_first") & (F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))).alias("kept")

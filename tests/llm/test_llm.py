@@ -73,15 +73,27 @@ def test_two_stage_sorts_suffixes():
         assert list(suffix.two_stage(t, len(t) + 2)) == sorted(range(len(t)), key=lambda i: tuple(t[i:]))
 
 
-def test_suffix_dedup(spark, sf):
-    got = {tuple(r) for r in suffix.repeated_passages(documents(spark, sf)).collect()}
+def test_common_prefixes():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        t = np.append(np.repeat(rng.integers(1, 4, 60), rng.integers(1, 4, 60)), 0).astype(np.int64)
+        sa = suffix.two_stage(t, len(t) + 2)
+        want = [0] + [next((k for k in range(9) if t[a + k : a + k + 1].tolist() != t[b + k : b + k + 1].tolist()), 9) for a, b in zip(sa[1:], sa[:-1])]
+        assert suffix.common_prefixes(t, sa, 9).tolist() == want
+
+
+@pytest.mark.parametrize("size", [32 << 20, 3000, 0])
+def test_suffix_dedup(spark, sf, size):
+    """Whether buckets are searched whole, split into windows, or some of each."""
+    got = {tuple(r) for r in suffix.repeated_passages(documents(spark, sf), bucket_bytes=size).collect()}
     assert got == brute_repeats([(r.doc_id, split(r.text)) for r in documents(spark, sf).collect()], 50)
 
 
 def test_suffix_dedup_awkward(spark):
     d = awkward(spark)
-    got = {tuple(r) for r in suffix.repeated_passages(d, 8).collect()}
-    assert got == brute_repeats({(r.doc_id, tuple(split(r.text))) for r in d.collect() if r.doc_id is not None}, 8)
+    for size in (1 << 20, 0):
+        got = {tuple(r) for r in suffix.repeated_passages(d, 8, size).collect()}
+        assert got == brute_repeats({(r.doc_id, tuple(split(r.text))) for r in d.collect() if r.doc_id is not None}, 8)
     assert suffix.repeated_passages(empty(spark)).count() == 0
 
 
