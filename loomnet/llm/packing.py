@@ -256,5 +256,6 @@ def pack(docs: DataFrame, capacity: int = 2048, block_docs: int = 2000, islands:
         rows = rows.repartition("block", "island").mapInArrow(_island(capacity, population, generations, epoch), STATE)
     # written, so that a lost task of the last step evolves nothing again
     state = written(rows, "packing-islands").select("block", F.lit(0).alias("sort"), F.col("island").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("mark"), F.lit(None).cast("binary").alias("ids"), F.struct("ids", "marks", "sizes", "elite").alias("state"))
+    # a partition for about four blocks, however many there are
     parts = tokens.select(block, F.lit(1).alias("sort"), "doc_id", "mark", "ids").unionByName(state, allowMissingColumns=True)
-    return parts.repartition("block").sortWithinPartitions("block", "sort", "doc_id", "mark").mapInArrow(_emit(capacity, words.kept(("kind", path), lambda: Coder(path).kind)), OUT)
+    return parts.repartition(max(1, -(-blocks // 4)), "block").sortWithinPartitions("block", "sort", "doc_id", "mark").mapInArrow(_emit(capacity, words.kept(("kind", path), lambda: Coder(path).kind)), OUT)
