@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import fold
+
 MONTHS = {m: k for k, names in enumerate(("ledna leden january", "února únor february", "března březen march", "dubna duben april", "května květen may", "června červen june", "července červenec july", "srpna srpen august", "září september", "října říjen october", "listopadu listopad november", "prosince prosinec december"), 1) for m in names.split()}
 
 
@@ -23,20 +25,28 @@ def month_number(c) -> Column:
     return F.try_element_at(table, F.lower(c))
 
 
+GENITIVE = ("ledna", "unora", "brezna", "dubna", "kvetna", "cervna", "cervence", "srpna", "zari", "rijna", "listopadu", "prosince")
+
+
 def _named(c) -> Column:
-    p = r"(?U)(\d{1,2})\. ?(\w+) (20[0-2]\d)"
-    m = month_number(F.regexp_extract(c, p, 2))
-    return F.when(m.isNotNull(), _iso(F.regexp_extract(c, p, 3), m, F.regexp_extract(c, p, 1)))
+    """d. month yyyy with a month's folded name; text is folded before it is matched."""
+    t = F.lower(fold(c))
+    p = rf"\b(\d{{1,2}})\.\s?({'|'.join(GENITIVE)})\s+(20[0-2]\d)\b"
+    table = F.create_map(*(F.lit(x) for k, m in enumerate(GENITIVE, 1) for x in (m, str(k))))
+    m = F.try_element_at(table, F.regexp_extract(t, p, 2))
+    return F.when(m.isNotNull(), _iso(F.regexp_extract(t, p, 3), m, F.regexp_extract(t, p, 1)))
 
 
 def cascade(html, text) -> Column:
     """struct(date, source): the first of meta tag, time element, named month, d.m.yyyy and ISO in the text. Dates stay strings, and aren't checked against the calendar."""
+    iso = r"(20[0-2]\d)-(\d{2})-(\d{2})"
+    names = "article:published_time|datePublished|og:published_time|pubdate|date"
     steps = (
-        ("meta", _found(html, r'(?i)<meta[^>]+(?:published|date)[^>]+content="(20[0-2]\d)-(\d{2})-(\d{2})', "ymd")),
-        ("time", _found(html, r'(?i)<time[^>]+datetime="(20[0-2]\d)-(\d{2})-(\d{2})', "ymd")),
-        ("named", _named(text)),
-        ("dotted", _found(text, r"\b(\d{1,2})\. ?(\d{1,2})\. ?(20[0-2]\d)\b", "dmy")),
-        ("iso", _found(text, r"\b(20[0-2]\d)-(\d{2})-(\d{2})\b", "ymd")),
+        ("meta", _found(F.regexp_extract(html, rf"""(?is)<meta[^>]+(?:property|name)=["'](?:{names})["'][^>]*content=["']([^"']+)""", 1), iso, "ymd")),
+        ("time", _found(F.regexp_extract(html, r"""(?is)<time[^>]+datetime=["']([^"']+)""", 1), iso, "ymd")),
+        ("text_cz", _named(text)),
+        ("text_num", _found(text, r"\b(\d{1,2})\.\s?(\d{1,2})\.\s?(20[0-2]\d)\b", "dmy")),
+        ("text_iso", _found(text, iso, "ymd")),
     )
     return F.coalesce(*(F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(s).alias("source"))) for s, d in steps))
 
@@ -65,10 +75,13 @@ def from_url(u) -> Column:
 
 
 def json_ld(html) -> Column:
-    """Date of a linked-data block: published, created, modified; of the object, the first of a list or of its @graph."""
+    """Date of a linked-data block: published, created, modified; of the object, the first of a list, or the first node of its @graph that has one."""
     raw = F.regexp_extract(html, r'(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>', 1)
-    at = [f"{p}.{k}" for k in ("datePublished", "dateCreated", "dateModified") for p in ("$", "$[0]", "$.@graph[0]")]
-    return F.left(F.coalesce(*(F.get_json_object(raw, p) for p in at)), F.lit(10))
+    keys = ("datePublished", "dateCreated", "dateModified")
+    at = [f"{p}.{k}" for k in keys for p in ("$", "$[0]")]
+    graph = F.from_json(F.get_json_object(raw, "$.@graph"), "array<map<string,string>>")
+    nodes = F.filter(F.transform(graph, lambda m: F.coalesce(*(F.try_element_at(m, F.lit(k)) for k in keys))), lambda x: x.isNotNull())
+    return F.left(F.coalesce(*(F.get_json_object(raw, p) for p in at), F.get(nodes, 0)), F.lit(10))
 
 
 def open_graph(html) -> Column:

@@ -49,21 +49,21 @@ ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&qu
 
 
 def html_to_text(c, drop: Iterable[str] = ("script", "style", "noscript"), lines: bool = True) -> Column:
-    """Plain text of markup: comments and dropped elements go, block ends become line ends, other tags spaces. Entities are replaced in a fixed order, so a doubly escaped one is unescaped twice."""
+    """Plain text of markup: comments and dropped elements go, block ends become line ends, other tags spaces; empty lines between paragraphs fold to one. Entities are replaced in a fixed order, so a doubly escaped one is unescaped twice."""
     x = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
     for tag in drop:
         x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}[^>]*>", " ")
     if lines:
-        x = F.regexp_replace(x, r"(?i)</(p|div|li|tr|h[1-6]|section|article|ul|ol|table)>|<br[^>]*>", "\n")
+        x = F.regexp_replace(x, r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr)\s*/?>", "\n")
     x = F.regexp_replace(x, r"<[^>]+>", " ")
     for a, b in ENTITIES:
         x = F.replace(x, F.lit(a), F.lit(b))
-    x = F.regexp_replace(x, r"[ \t]+", " ")
+    x = F.regexp_replace(x, r"[ \t\x0B\f\r]+", " ")
     if lines:
-        x = F.regexp_replace(x, r" ?\n[ \n]*", "\n")
+        x = F.regexp_replace(F.regexp_replace(x, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
     else:
         x = F.regexp_replace(x, r"[ \n\r]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"^\n+", ""), r"\n+$", ""))
+    return F.regexp_replace(F.regexp_replace(x, r"^[ \n]+", ""), r"[ \n]+$", "")
 
 
 CHROME = ("script", "style", "noscript", "nav", "header", "footer", "aside")
@@ -79,16 +79,37 @@ def key_text(c) -> Column:
     return F.lower(fold(html_to_text(c, lines=False)))
 
 
+def attribute(tag, name: str) -> Column:
+    """Value of an attribute of a tag, in double, single or no quotes; empty where it isn't there."""
+    v = F.regexp_extract(tag, rf"""(?is)[ \t\n\r\f/]{name}[ \t\n\r\f]*=[ \t\n\r\f]*("[^"]*"|'[^']*'|[^ \t\n\r\f>"']+)""", 1)
+    return F.regexp_replace(v, r"""^["']|["']$""", "")
+
+
+def tags_of(html, name: str) -> Column:
+    """All opening tags of a name, in order."""
+    return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}\b[^<>]*>"), F.lit(0))
+
+
+def meta_content(html, key: str) -> Column:
+    """content of the first meta tag whose name or property is key, wherever its attributes stand; null where there is none."""
+    own = F.filter(tags_of(html, "meta"), lambda t: (F.lower(attribute(t, "name")) == key) | (F.lower(attribute(t, "property")) == key))
+    return attribute(F.get(own, 0), "content")
+
+
 def title(c) -> Column:
     return F.left(F.trim(F.regexp_extract(c, r"(?is)<title>(.*?)</title>", 1)), F.lit(300))
 
 
 def element_signatures(c) -> Column:
-    """Distinct id:, class: and tag signatures of the elements of a page."""
-    ids = F.transform(F.regexp_extract_all(c, F.lit(r'\bid="([^"]*)"'), F.lit(1)), lambda v: F.concat(F.lit("id:"), v))
-    classes = F.transform(F.regexp_extract_all(c, F.lit(r'\bclass="([^"]*)"'), F.lit(1)), lambda v: F.concat(F.lit("class:"), v))
-    tags = F.transform(F.regexp_extract_all(c, F.lit(r"<([a-z][a-z0-9]*)"), F.lit(1)), lambda v: F.concat(F.lit("tag:"), v))
-    return F.array_distinct(F.concat(ids, classes, tags))
+    """Distinct id:, role:, class: and tag.class signatures of the elements of a page; a class attribute names several classes."""
+    tags = F.transform(F.regexp_extract_all(c, F.lit(r"<[A-Za-z][^<>]*>"), F.lit(0)), lambda t: F.struct(F.lower(F.regexp_extract(t, r"^<([A-Za-z][A-Za-z0-9]*)", 1)).alias("name"), attribute(t, "id").alias("id"), attribute(t, "role").alias("role"), F.filter(F.split(attribute(t, "class"), r"[ \t\n\r\f]+"), lambda x: x != "").alias("classes")))
+    none = F.array().cast("array<string>")
+
+    def own(t):
+        one = lambda kind: F.when(t[kind] != "", F.array(F.concat(F.lit(kind + ":"), t[kind]))).otherwise(none)
+        return F.concat(one("id"), one("role"), F.transform(t["classes"], lambda k: F.concat(F.lit("class:"), k)), F.transform(t["classes"], lambda k: F.concat(t["name"], F.lit("."), k)))
+
+    return F.array_distinct(F.flatten(F.transform(tags, own)))
 
 
 # dictionary patterns

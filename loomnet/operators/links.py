@@ -10,10 +10,13 @@ from loomnet.functions import urls as U
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(page_id, source, target, link_type, pos): anchors as absolute URLs, in order."""
-    a = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    """(page_id, source, target, link_type, pos, anchor): anchors as absolute URLs, in order, with the text up to their first inner tag. The tag is matched first and its href then, so that attributes may stand in any order and quotes."""
+    p = F.lit(r"(?i)<a\b([^<>]*[ \t\n\r\f/]href[ \t\n\r\f]*=[ \t\n\r\f]*[^<>]*)>([^<]*)")
+    both = F.arrays_zip(F.regexp_extract_all("html", p, F.lit(1)).alias("tag"), F.regexp_extract_all("html", p, F.lit(2)).alias("body"))
+    a = pages.select("page_id", "url", F.posexplode(both).alias("pos", "a"))
+    a = a.select("page_id", "url", "pos", X.attribute(F.col("a.tag"), "href").alias("href"), F.left(F.trim(F.regexp_replace("a.body", r"[ \t\n\r\f]+", " ")), F.lit(500)).alias("anchor")).filter("href <> ''")
     t = a.withColumn("target", U.resolved_simple("href", F.col("url")))
-    return t.select("page_id", F.col("url").alias("source"), "target", F.when(U.host("target") == U.host("url"), "internal").otherwise("external").alias("link_type"), "pos")
+    return t.select("page_id", F.col("url").alias("source"), "target", F.when(U.host("target") == U.host("url"), "internal").otherwise("external").alias("link_type"), "pos", "anchor")
 
 
 def distinct_links(found: DataFrame) -> DataFrame:
@@ -24,7 +27,7 @@ def distinct_links(found: DataFrame) -> DataFrame:
 
 def collapsed(found: DataFrame) -> DataFrame:
     """Links of a host by target: how often, from where first, of which type."""
-    return found.withColumn("org", U.host("source")).groupBy("org", "target").agg(F.min("source").alias("first_source"), F.max("link_type").alias("link_type"), F.count("*").alias("occurrences"), F.min("page_id").alias("first_seen"), F.max("page_id").alias("last_seen"))
+    return found.withColumn("org", U.host("source")).groupBy("org", "target").agg(F.min("source").alias("first_source"), F.min("anchor").alias("anchor"), F.max("link_type").alias("link_type"), F.count("*").alias("occurrences"), F.min("page_id").alias("first_seen"), F.max("page_id").alias("last_seen"))
 
 
 def file_links(found: DataFrame) -> DataFrame:
@@ -42,7 +45,7 @@ def shared(found: DataFrame, least: int = 2, samples: int = 5) -> DataFrame:
 
 def direct(found: DataFrame, owners: DataFrame) -> DataFrame:
     """(src, tgt, n): links from hosts to the hosts of other owners. owners: (host, org)."""
-    o = F.broadcast(owners)
+    o = owners  # grows with the pages: Spark broadcasts it only where it is small
     a = found.withColumn("host", U.host("source")).join(o, "host").withColumnRenamed("org", "src").drop("host")
     b = a.withColumn("host", U.host("target")).join(o, "host").withColumnRenamed("org", "tgt")
     return b.filter("src <> tgt").groupBy("src", "tgt").agg(F.count("*").alias("n"))
@@ -64,5 +67,9 @@ def section_signatures(pages: DataFrame, depth: int = 1, least: int = 10, share:
 
 
 def metadata(pages: DataFrame) -> DataFrame:
-    get = lambda p: F.regexp_extract("html", p, 1)
-    return pages.select("page_id", X.title("html").alias("title"), get(r'<html lang="([^"]*)"').alias("lang"), get(r'<meta charset="([^"]*)"').alias("charset"), get(r"(?is)<h1>(.*?)</h1>").alias("h1"))
+    """Title, language, charset, first heading, description and OpenGraph title and type of each page."""
+    charset = F.filter(F.transform(X.tags_of("html", "meta"), lambda t: X.attribute(t, "charset")), lambda x: x != "")
+    return pages.select(
+        "page_id", X.title("html").alias("title"), X.attribute(F.get(X.tags_of("html", "html"), 0), "lang").alias("lang"), F.coalesce(F.get(charset, 0), F.lit("")).alias("charset"), F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1).alias("h1"),
+        X.meta_content("html", "description").alias("description"), X.meta_content("html", "og:title").alias("og_title"), X.meta_content("html", "og:type").alias("og_type"),
+    )

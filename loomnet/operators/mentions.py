@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +19,28 @@ def word_pattern(terms) -> str:
     return r"\b(?:" + "|".join(X.escaped(t) for t in X.longest_first(terms)) + r")\b"
 
 
-def counted(docs: DataFrame, terms, name: str = "term") -> DataFrame:
-    """(doc_id, term, n_hits) of all terms in one pass: one alternation finds them, whatever their number."""
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all(normal("text"), F.lit(word_pattern(terms)), F.lit(0))).alias(name))
+def folded_term(t: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).replace("ß", "ss").strip()
+
+
+def counted(docs: DataFrame, terms, name: str = "term", text: Column | None = None) -> DataFrame:
+    """(doc_id, term, n_hits) of all terms in one pass: one alternation finds them, whatever their number. A term begins at a word's start; what follows it is free, so that inflected forms count, but for terms under five letters."""
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all(normal("text") if text is None else text, F.lit(X.alternation(terms)), F.lit(0))).alias(name))
     return found.groupBy("doc_id", name).agg(F.count("*").alias("n_hits"))
 
 
 def org_hits(docs: DataFrame, orgs: DataFrame) -> DataFrame:
-    """(doc_id, org, n_hits, is_self). orgs: (org, term), a dictionary of driver size."""
-    terms = [r["term"] for r in orgs.select("term").distinct().collect()]
-    hits = counted(docs, terms).join(orgs, "term").groupBy("doc_id", "org").agg(F.sum("n_hits").alias("n_hits"))
+    """(doc_id, org, n_hits, is_self). orgs: (org, term), a dictionary of driver size, and mode where there is one: terms of mode cs match case by case, all others in any case."""
+    rows = orgs.withColumn("mode", F.col("mode") if "mode" in orgs.columns else F.lit("ci")).select("org", "term", "mode").collect()
+    hits = None
+    for mode, text in (("ci", normal("text")), ("cs", X.fold("text"))):
+        own = sorted({(folded_term(r["term"]).lower() if mode == "ci" else folded_term(r["term"]), r["org"]) for r in rows if (r["mode"] == "cs") == (mode == "cs")})
+        if own:
+            part = counted(docs, [t for t, _ in own], text=text).join(docs.sparkSession.createDataFrame(own, "term string, org string"), "term")
+            hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        return docs.select("doc_id", "source", F.lit("").alias("org"), F.lit(0).cast("long").alias("n_hits"), F.lit(0).alias("is_self")).drop("source").limit(0)
+    hits = hits.groupBy("doc_id", "org").agg(F.sum("n_hits").alias("n_hits"))
     return hits.join(docs.select("doc_id", "source"), "doc_id").select("doc_id", "org", "n_hits", (F.col("org") == F.col("source")).cast("int").alias("is_self"))
 
 
@@ -37,16 +51,25 @@ def keyword_hits(docs: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def targets(docs: DataFrame, orgs: DataFrame, keywords: DataFrame, category: str = "relation") -> DataFrame:
-    """doc_id, source, sorted other organisations and sorted keywords of one category; documents without any have empty arrays. Arrays are built in the row, without a shuffle."""
-    t = normal("text")
-    pairs = [(r["org"], r["term"]) for r in orgs.collect()]
-    words = sorted({r["term"] for r in keywords.filter(F.col("category") == category).collect()})
+    """doc_id, source, sorted other organisations and sorted keywords of one category; documents without any have empty arrays.
+
+    Two scans a document, whatever the dictionaries' sizes: one alternation of all organisations' terms,
+    as in the index, and one of all keywords, which stand between characters that aren't ASCII word
+    characters, the longest that fits. Arrays are built in the row, without a shuffle.
+    """
     by: dict = {}
-    for o, w in pairs:
-        by.setdefault(o, []).append(w)
-    others = F.array_compact(F.array(*(F.when((F.col("source") != o) & t.rlike(word_pattern(ws)), o) for o, ws in sorted(by.items()))))
-    kws = F.array_compact(F.array(*(F.when(t.rlike(word_pattern([w])), w) for w in words)))
-    return docs.select("doc_id", "source", others.alias("targets"), kws.alias("keywords"))
+    for r in orgs.collect():
+        by.setdefault(folded_term(r["term"]).lower(), set()).add(r["org"])
+    words = sorted({r["term"].lower() for r in keywords.filter(F.col("category") == category).collect()})
+    none = F.array().cast("array<string>")
+    others, kws = none, none
+    if by:
+        table = F.create_map(*(x for t, o in sorted(by.items()) for x in (F.lit(t), F.array(*map(F.lit, sorted(o))))))
+        hits = F.array_distinct(F.regexp_extract_all(normal("text"), F.lit(X.alternation(by)), F.lit(0)))
+        others = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(hits, lambda m: F.element_at(table, m))), lambda o: ~o.eqNullSafe(F.col("source")))))
+    if words:
+        kws = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(X.ascii_bounded(words)), F.lit(0))))
+    return docs.select("doc_id", "source", F.coalesce(others, none).alias("targets"), F.coalesce(kws, none).alias("keywords"))
 
 
 def gate(found: DataFrame) -> DataFrame:
@@ -62,12 +85,11 @@ def reason() -> Column:
 def keyword_score(docs: DataFrame, keywords: DataFrame, mentions=(), per_mention: int = 5) -> DataFrame:
     """doc_id, mention_count, raw_score, word_count, density: keyword weights and mentions, and the score of a hundred words."""
     t = normal("text")
-    by: dict = {}
-    for r in keywords.collect():
-        by.setdefault(r["weight"], []).append(r["term"])
+    weights = {folded_term(r["term"]).lower(): r["weight"] for r in keywords.orderBy("weight").collect()}
     score = F.lit(0)
-    for weight, terms in sorted(by.items()):
-        score = score + F.regexp_count(t, F.lit(word_pattern(terms))) * weight
+    if weights:  # one scan for all terms
+        table = F.create_map(*(F.lit(x) for kv in sorted(weights.items()) for x in kv))
+        score = F.aggregate(F.regexp_extract_all(t, F.lit(word_pattern(weights)), F.lit(0)), F.lit(0), lambda acc, m: acc + F.element_at(table, m))
     named = F.regexp_count(t, F.lit(word_pattern(mentions))) if mentions else F.lit(0)
     words = F.regexp_count("text", F.lit(r"[^ \t\n\r\f]+"))
     base = docs.select("doc_id", "source", named.alias("mention_count"), (score + named * per_mention).cast("long").alias("raw_score"), words.alias("word_count"))
@@ -106,7 +128,7 @@ def mentioning(docs: DataFrame, orgs: DataFrame) -> DataFrame:
 
 def cut_boilerplate(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """Text up to the first marker of its source. rules: (source, marker), one a source. changed: whether it was cut."""
-    j = docs.join(F.broadcast(rules), "source", "left")
+    j = docs.join(rules, "source", "left")
     at = F.when(F.col("marker").isNotNull(), F.instr(F.col("text"), F.col("marker"))).otherwise(0)
     clean = F.when(at > 0, F.regexp_replace(F.substr("text", F.lit(1), at - 1), r"[ \t\n\r\f]+$", "")).otherwise(F.col("text"))
     return j.select("doc_id", "source", clean.alias("text"), (at > 0).cast("int").alias("changed"))

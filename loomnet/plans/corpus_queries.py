@@ -37,9 +37,9 @@ def text_dates(s, d):
 
 def cascade(s, d):
     """The date cascade over markup and texts made from orders."""
-    day, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 4
-    html = F.when(k == 0, F.concat(F.lit('<meta name="published" content="2'), F.substring(day, 2, 9), F.lit('">'))).when(k == 1, F.concat(F.lit('<time class="x" datetime="20'), F.substring(day, 3, 8), F.lit('T00:00">'))).otherwise("<p>none</p>")
-    text = F.when(k == 2, F.concat(F.lit("on "), F.date_format("o_orderdate", "d. M."), F.lit(" 2015 at"))).otherwise("on 2016-45-13 or so")
+    day, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 5
+    html = F.when(k == 0, F.concat(F.lit('<meta property="article:published_time" content="2'), F.substring(day, 2, 9), F.lit('">'))).when(k == 1, F.concat(F.lit('<time class="x" datetime="20'), F.substring(day, 3, 8), F.lit('T00:00">'))).otherwise("<p>none</p>")
+    text = F.when(k == 2, F.concat(F.lit("on "), F.date_format("o_orderdate", "d. M."), F.lit(" 2015 at"))).when(k == 4, F.concat(F.lit("dne "), F.date_format("o_orderdate", "d"), F.lit(". BŘEZNA 2016."))).otherwise("on 2016-45-13 or so")
     return T(s, d, "orders").select("o_orderkey", D.cascade(html, text).alias("x")).select("o_orderkey", "x.date", "x.source")
 
 
@@ -92,9 +92,9 @@ ORACLE = {
     "random_pages": f"SELECT page_id, url FROM pages ORDER BY {_MD.format(k='page_id')}, page_id LIMIT 200",
     "date_roundtrip": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN NULL WHEN 4 THEN strftime(make_date(year(o_orderdate), 3, least(day(o_orderdate), 31)), '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day,
 CAST(o_orderdate >= DATE '1996-01-01' AND CAST(o_orderdate AS DATE) <= DATE '1997-12-31' AS INTEGER) AS in_range, CASE WHEN year(o_orderdate) BETWEEN 1996 AND 1998 THEN CAST(year(o_orderdate) AS VARCHAR) ELSE 'other' END AS bucket FROM orders""",
-    "date_cascade": """SELECT o_orderkey, CASE k WHEN 0 THEN CASE WHEN meta THEN '2' || substring(day, 2) ELSE '2016-45-13' END WHEN 1 THEN CASE WHEN tm THEN '20' || substring(day, 3) ELSE '2016-45-13' END WHEN 2 THEN '2015-' || substring(day, 6) ELSE '2016-45-13' END AS date,
-CASE k WHEN 0 THEN CASE WHEN meta THEN 'meta' ELSE 'iso' END WHEN 1 THEN CASE WHEN tm THEN 'time' ELSE 'iso' END WHEN 2 THEN 'dotted' ELSE 'iso' END AS source
-FROM (SELECT o_orderkey, o_orderkey % 4 AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, regexp_matches('2' || substring(strftime(o_orderdate, '%Y'), 2), '20[0-2][0-9]') AS meta, regexp_matches('20' || substring(strftime(o_orderdate, '%Y'), 3), '20[0-2][0-9]') AS tm FROM orders)""",
+    "date_cascade": """SELECT o_orderkey, CASE k WHEN 0 THEN CASE WHEN meta THEN '2' || substring(day, 2) ELSE '2016-45-13' END WHEN 1 THEN CASE WHEN tm THEN '20' || substring(day, 3) ELSE '2016-45-13' END WHEN 2 THEN '2015-' || substring(day, 6) WHEN 4 THEN '2016-03-' || substring(day, 9) ELSE '2016-45-13' END AS date,
+CASE k WHEN 0 THEN CASE WHEN meta THEN 'meta' ELSE 'text_iso' END WHEN 1 THEN CASE WHEN tm THEN 'time' ELSE 'text_iso' END WHEN 2 THEN 'text_num' WHEN 4 THEN 'text_cz' ELSE 'text_iso' END AS source
+FROM (SELECT o_orderkey, o_orderkey % 5 AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, regexp_matches('2' || substring(strftime(o_orderdate, '%Y'), 2), '20[0-2][0-9]') AS meta, regexp_matches('20' || substring(strftime(o_orderdate, '%Y'), 3), '20[0-2][0-9]') AS tm FROM orders)""",
     "json_lenient": """SELECT event_id, CASE WHEN ok THEN CASE k % 3 WHEN 0 THEN 'collaboration' ELSE 'co-mention' END END AS label, CASE WHEN ok THEN 'high' END AS confidence, CASE WHEN ok THEN 'k=' || k END AS reasoning
 FROM (SELECT event_id, k, k % 3 < 2 AND (k % 2 = 0 OR k % 7 <> 0) AS ok FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))""",
     "token_cost": "SELECT event_id, round(((user_id * 10000 - user_id * 1000) * 0.15e0 + user_id * 1000 * 0.075e0 + (event_id % 100) * 1000 * 0.6e0) / 1e6, 6) AS cost FROM events",

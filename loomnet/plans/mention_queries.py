@@ -8,8 +8,9 @@ from loomnet.functions import text as X
 from loomnet.operators import mentions as M
 from loomnet.operators import pairs as P
 
-ORGS = [("src1", "with"), ("src2", "from"), ("src3", "avec"), ("src5", "nicht"), ("src7", "para"), ("src9", "this"), ("src11", "pour"), ("src13", "sich"), ("src15", "idiot"), ("src0", "stupid")]
-KEYWORDS = [("relation", "that", "that", 3), ("relation", "dans", "dans", 2), ("relation", "einer", "einer", 4), ("funding", "sur", "sur", 2), ("funding", "una", "una", 1), ("topics", "anhaes", "hent", 5)]
+#: terms of five letters and more also match where a word goes on
+ORGS = [("src1", "with"), ("src2", "from"), ("src3", "avec"), ("src5", "nicht"), ("src7", "para"), ("src9", "this"), ("src11", "pour"), ("src13", "sich"), ("src15", "idiot"), ("src0", "stupid"), ("src17", "ement"), ("src19", "retie")]
+KEYWORDS = [("relation", "that", "that", 3), ("relation", "dans", "dans", 2), ("relation", "einer", "einer", 4), ("funding", "sur", "sur", 2), ("funding", "una", "una", 1), ("topics", "anhaes", "hent", 5), ("relation", "ement", "emental", 2), ("funding", "tionf", "tiono", 1)]
 RULES = [("src1", "Anand"), ("src2", "Thand"), ("src3", "License"), ("src4", ". Ti")]
 
 
@@ -36,16 +37,18 @@ RELATION = sorted({t for c, _, t, _ in KEYWORDS if c == "relation"})
 
 
 def _all(terms):
-    return f"unnest(regexp_extract_all({N}, '\\b(?:{'|'.join(X.longest_first(terms))})\\b'))"
+    return f"unnest(regexp_extract_all({N}, '{X.alternation(terms)}'))"
 
 
 ORG_HITS = f"""{ORG_SQL}, hits AS (SELECT doc_id, source, {_all([t for _, t in ORGS])} AS term FROM documents),
 org_hits AS (SELECT doc_id, org, count(*) AS n_hits, CAST(org = any_value(source) AS INTEGER) AS is_self FROM hits JOIN orgs USING (term) GROUP BY doc_id, org)"""
 KW_HITS = f"""{KW_SQL}, khits AS (SELECT doc_id, {_all([t for *_, t, _ in KEYWORDS])} AS term FROM documents),
 kw_hits AS (SELECT doc_id, category, root, count(*) AS n_hits FROM khits JOIN kw USING (term) GROUP BY 1, 2, 3)"""
+_ORG_OF = "CASE m " + " ".join(f"WHEN '{t}' THEN '{o}'" for o, t in ORGS) + " END"
 TARGETS = f"""targets AS (SELECT doc_id, source,
- list_filter([{', '.join(f"CASE WHEN source <> '{o}' AND regexp_matches({N}, '{chr(92)}b{t}{chr(92)}b') THEN '{o}' END" for o, t in sorted(ORGS))}], lambda x: x IS NOT NULL) AS targets,
- list_filter([{', '.join(f"CASE WHEN regexp_matches({N}, '{chr(92)}b{t}{chr(92)}b') THEN '{t}' END" for t in RELATION)}], lambda x: x IS NOT NULL) AS keywords FROM documents)"""
+ list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({N}, '{X.alternation([t for _, t in ORGS])}'), lambda m: {_ORG_OF}), lambda o: o <> source))) AS targets,
+ list_sort(list_distinct(regexp_extract_all(lower(text), '\\b(?:{'|'.join(X.longest_first(RELATION))})\\b'))) AS keywords FROM documents)"""
+CASED = [("src1", "Th", "cs"), ("src2", "License", "cs"), ("src3", "license", "ci"), ("src4", "mènt", "ci"), ("src5", "É", "cs"), ("src6", "Quel", "cs")]
 
 
 def found(s, d):
@@ -100,6 +103,7 @@ SELECT a.doc_id, a.org, a.kw, a.distance, CASE WHEN a.distance < 150 THEN 'near'
 (SELECT string_agg(org || '~' || kw, ', ' ORDER BY rn) FROM r b WHERE b.doc_id = a.doc_id AND b.rn <= 4) AS top_hits, CAST(greatest(n - 4, 0) AS INTEGER) AS n_more FROM r a WHERE rn = 1"""
 
 QUERIES = {
+    "mention_hits_cased": lambda s, d: M.org_hits(T(s, d, "documents"), s.createDataFrame(CASED, "org string, term string, mode string")),
     "mention_hits": lambda s, d: M.org_hits(T(s, d, "documents"), orgs(s)),
     "kw_hits": lambda s, d: M.keyword_hits(T(s, d, "documents"), keywords(s)),
     "gate": lambda s, d: M.gate(found(s, d)).select("doc_id", "source", F.array_join("targets", ";").alias("targets"), F.array_join("keywords", ";").alias("keywords")),
@@ -127,7 +131,12 @@ SELECT doc_id, source, len(regexp_extract_all({N}, '\\b(?:idiot|clown)\\b')) AS
 gated AS (SELECT *, CAST(why = '' AS INTEGER) AS kept FROM (SELECT *, concat_ws('; ', CASE WHEN raw_score < 8 THEN 'score below 8' END, CASE WHEN density < 0.7 THEN 'density below 0.7' END, CASE WHEN mention_count < 0 THEN 'mentions below 0' END) AS why FROM scored))"""
 _CUT = f"""cut AS (SELECT d.doc_id, d.source, CASE WHEN strpos(text, marker) > 0 THEN regexp_replace(substring(text, 1, strpos(text, marker) - 1), '[ \\t\\n\\r\\f]+$', '') ELSE text END AS text,
 CAST(coalesce(strpos(text, marker) > 0, false) AS INTEGER) AS changed FROM documents d LEFT JOIN (VALUES {_values(RULES)}) AS r(source, marker) USING (source))"""
+_CASED = [(M.folded_term(t) if m == "cs" else M.folded_term(t).lower(), o, m) for o, t, m in CASED]
 ORACLE = {
+    "mention_hits_cased": f"""WITH v AS (SELECT * FROM (VALUES {_values(_CASED)}) AS v(term, org, mode)),
+hits AS (SELECT doc_id, source, 'ci' AS mode, unnest(regexp_extract_all({N}, '{X.alternation([t for t, _, m in _CASED if m == "ci"])}')) AS term FROM documents
+ UNION ALL SELECT doc_id, source, 'cs', unnest(regexp_extract_all(strip_accents(text), '{X.alternation([t for t, _, m in _CASED if m == "cs"])}')) FROM documents)
+SELECT doc_id, org, count(*) AS n_hits, CAST(org = any_value(source) AS INTEGER) AS is_self FROM hits JOIN v USING (term, mode) GROUP BY doc_id, org""",
     "mention_hits": f"WITH {ORG_HITS} SELECT * FROM org_hits",
     "kw_hits": f"WITH {KW_HITS} SELECT * FROM kw_hits",
     "gate": f"WITH {TARGETS} SELECT doc_id, source, array_to_string(targets, ';') AS targets, array_to_string(keywords, ';') AS keywords FROM targets WHERE len(targets) > 0 AND len(keywords) > 0",

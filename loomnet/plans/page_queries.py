@@ -48,6 +48,12 @@ def direct(s, d):
     return L.direct(far, owners)
 
 
+def odd(s, d):
+    """Pages whose anchors have other attributes first, single quotes and upper case, and meta tags in any order."""
+    html = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", r'<a href="([^"]*)"', r"<A class=k rel=x HREF = '$1'")).otherwise(F.col("html"))
+    return T(s, d).withColumn("html", F.concat(html, F.lit('<meta content="about '), F.col("page_id").cast("string"), F.lit("\" NAME=Description><META property='og:title' content='t'>")))
+
+
 QUERIES = {
     "html_text": lambda s, d: T(s, d).select("page_id", X.html_to_text("html").alias("text")),
     "html_body": lambda s, d: T(s, d).select("page_id", X.body_text("html").alias("text")),
@@ -57,6 +63,8 @@ QUERIES = {
     "url_flags": url_flags,
     "canonical_twins": canonical_twins,
     "link_extract": found,
+    "link_extract_markup": lambda s, d: L.links(odd(s, d)),
+    "page_metadata_markup": lambda s, d: L.metadata(odd(s, d)).select("page_id", "description", "og_title"),
     "link_distinct": lambda s, d: L.distinct_links(found(s, d)),
     "link_collapse": lambda s, d: L.collapsed(found(s, d)),
     "shared_refs": lambda s, d: L.shared(found(s, d)),
@@ -89,13 +97,22 @@ def _html(drop, lines):
     for t in drop:
         x = f"regexp_replace({x}, '(?is)<{t}\\b[^>]*>.*?</{t}[^>]*>', ' ', 'g')"
     if lines:
-        x = f"regexp_replace({x}, '(?i)</(p|div|li|tr|h[1-6]|section|article|ul|ol|table)>|<br[^>]*>', chr(10), 'g')"
+        x = f"regexp_replace({x}, '(?i)<(br|/p|/div|/li|/h[1-6]|/tr)\\s*/?>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
     for a, b in X.ENTITIES:
         x = f"replace({x}, '{a}', {chr(39) + b.replace(chr(39), chr(39) * 2) + chr(39)})"
-    x = f"regexp_replace({x}, '[ \\t]+', ' ', 'g')"
-    x = f"regexp_replace({x}, ' ?\\n[ \\n]*', chr(10), 'g')" if lines else f"regexp_replace({x}, '[ \\n\\r]+', ' ', 'g')"
-    return f"trim(regexp_replace(regexp_replace({x}, '^\\n+', ''), '\\n+$', ''))"
+    x = f"regexp_replace({x}, '[ \\t\\x0B\\f\\r]+', ' ', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')" if lines else f"regexp_replace({x}, '[ \\n\\r]+', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({x}, '^[ \\n]+', ''), '[ \\n]+$', '')"
+
+
+def _attr(t, name):
+    v = f"""regexp_extract({t}, '(?is)[ \\t\\n\\r\\f/]{name}[ \\t\\n\\r\\f]*=[ \\t\\n\\r\\f]*("[^"]*"|''[^'']*''|[^ \\t\\n\\r\\f>"'']+)', 1)"""
+    return f"""regexp_replace({v}, '^["'']|["'']$', '', 'g')"""
+
+
+def _meta(key):
+    return f"""{_attr(f"list_filter(regexp_extract_all(html, '(?i)<meta{chr(92)}b[^<>]*>'), lambda t: lower({_attr('t', 'name')}) = '{key}' OR lower({_attr('t', 'property')}) = '{key}')[1]", 'content')}"""
 
 
 _PARAMS = f"list_filter(string_split({_query('url')}, '&'), lambda p: p <> '')"
@@ -104,17 +121,23 @@ _CANON = f"(regexp_replace(url, '[?#].*$', '') || CASE WHEN len({_STATE}) > 0 TH
 _DEPTH = f"list_max(list_transform(regexp_extract_all({_query('url')}, '(?:^|&)(?:page|p|start|offset)=([0-9]{{1,6}})(?:&|$)', 1), lambda x: CAST(x AS INTEGER)))"
 _SEGS = f"list_filter(string_split({_path('url')}, '/'), lambda x: x <> '')"
 _NORMAL = f"'://' || regexp_replace(lower({_LOC}), ':(80|443)$', '') || regexp_replace({_path('url')}, '/+$', '') || CASE WHEN len({_PARAMS}) > 0 THEN '?' || array_to_string(list_sort({_PARAMS}), '&') ELSE '' END"
-_LINKS = f"""raw AS (SELECT page_id, url, unnest(range(len(h))) AS pos, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)),
-links AS (SELECT page_id, url AS source, target, CASE WHEN {_host('target')} = {_host('url')} THEN 'internal' ELSE 'external' END AS link_type, CAST(pos AS INTEGER) AS pos FROM (
-SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href ELSE regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || regexp_replace({_path('url')}, '[^/]*$', '') || href END AS target FROM raw))"""
-_SIGS = """sigs AS (SELECT page_id, url, unnest(list_distinct(list_concat(list_concat(list_transform(regexp_extract_all(html, '\\bid="([^"]*)"', 1), lambda v: 'id:' || v), list_transform(regexp_extract_all(html, '\\bclass="([^"]*)"', 1), lambda v: 'class:' || v)), list_transform(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1), lambda v: 'tag:' || v)))) AS sig FROM pages)"""
+_A = """(?i)<a\\b([^<>]*[ \\t\\n\\r\\f/]href[ \\t\\n\\r\\f]*=[ \\t\\n\\r\\f]*[^<>]*)>([^<]*)"""
+_LINKS = f"""raw AS (SELECT page_id, url, pos, {_attr('tag', 'href')} AS href, left(trim(regexp_replace(body, '[ \\t\\n\\r\\f]+', ' ', 'g')), 500) AS anchor FROM (SELECT page_id, url, unnest(range(len(h))) AS pos, unnest(h) AS tag, unnest(x) AS body FROM (SELECT page_id, url, regexp_extract_all(html, '{_A}', 1) AS h, regexp_extract_all(html, '{_A}', 2) AS x FROM PAGES_IN))),
+links AS (SELECT page_id, url AS source, target, CASE WHEN {_host('target')} = {_host('url')} THEN 'internal' ELSE 'external' END AS link_type, CAST(pos AS INTEGER) AS pos, anchor FROM (
+SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href ELSE regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || regexp_replace({_path('url')}, '[^/]*$', '') || href END AS target FROM raw WHERE href <> ''))"""
+_ODD = "odd AS (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, '<a href=\"([^\"]*)\"', '<A class=k rel=x HREF = ''\\1''', 'g') ELSE html END || '<meta content=\"about ' || page_id || '\" NAME=Description><META property=''og:title'' content=''t''>' AS html FROM pages)"
+_LINKS, _LINKS_ODD = _LINKS.replace("PAGES_IN", "pages"), _ODD + ", " + _LINKS.replace("PAGES_IN", "odd")
+
+_SIGS = f"""tags AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<[A-Za-z][^<>]*>')) AS t FROM pages),
+parts AS (SELECT page_id, url, lower(regexp_extract(t, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS name, {_attr('t', 'id')} AS id, {_attr('t', 'role')} AS role, list_filter(regexp_split_to_array({_attr('t', 'class')}, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS classes FROM tags),
+sigs AS (SELECT DISTINCT page_id, url, unnest(list_concat(list_concat(CASE WHEN id <> '' THEN ['id:' || id] ELSE [] END, CASE WHEN role <> '' THEN ['role:' || role] ELSE [] END), list_concat(list_transform(classes, lambda k: 'class:' || k), list_transform(classes, lambda k: name || '.' || k)))) AS sig FROM parts)"""
 _TYPES = "CASE " + " ".join(f"WHEN regexp_matches(lower(url), '{w}') THEN '{k}'" for w, k in (("news|aktual|presse", "news"), ("about|kontakt|contact", "about"), ("team|staff|people", "people"), ("project|projekt", "project"), ("publication|report", "publication"), ("event|akce", "event"), ("download|files", "download"), ("donate|support", "support")))
 _TITLE = "left(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), 300)"
 ORACLE = {
     "html_text": f"SELECT page_id, {_html(('script', 'style', 'noscript'), True)} AS text FROM pages",
     "html_body": f"SELECT page_id, {_html(X.CHROME, False)} AS text FROM pages",
     "html_key_text": f"SELECT page_id, md5(lower(strip_accents({_html(('script', 'style', 'noscript'), False)}))) AS h FROM pages",
-    "page_metadata": f"SELECT page_id, {_TITLE} AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset, regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1) AS h1 FROM pages",
+    "page_metadata": f"SELECT page_id, {_TITLE} AS title, {_attr("regexp_extract_all(html, '(?i)<html" + chr(92) + "b[^<>]*>')[1]", 'lang')} AS lang, coalesce(list_filter(list_transform(regexp_extract_all(html, '(?i)<meta{chr(92)}b[^<>]*>'), lambda t: {_attr('t', 'charset')}), lambda x: x <> '')[1], '') AS charset, regexp_extract(html, '(?is)<h1{chr(92)}b[^>]*>(.*?)</h1>', 1) AS h1, {_meta('description')} AS description, {_meta('og:title')} AS og_title, {_meta('og:type')} AS og_type FROM pages",
     "url_parts": f"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, {_host('url')} AS host, {_path('url')} AS path, {_query('url')} AS query, {_key('url')} AS key, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || {_NORMAL} AS normal, 'https' || {_NORMAL} AS normal_https,
 lower(regexp_replace(url, '[?#].*$', '')) AS resource, coalesce({_SEGS}[1], '') AS section, CASE WHEN length(split_part({_host('url')}, '.', 1)) >= 3 THEN split_part({_host('url')}, '.', 1) END AS token,
 CASE WHEN regexp_replace({_path('url')}, '/+$', '') <> '' THEN 'prefix:' || {_host('url')} || regexp_replace({_path('url')}, '/+$', '') ELSE 'domain:' || {_host('url')} END AS scope FROM pages""",
@@ -125,9 +148,11 @@ CASE WHEN contains(lower(url), '/en/') THEN 0 WHEN regexp_matches(lower(url), '/
 lpad(CAST(page_id AS VARCHAR), 5, '0') || '_' || left(trim(regexp_replace(lower({_path('url')}), '[^a-z0-9]+', '_', 'g'), '_'), 80) AS slug,
 CAST({_host('url')} = 'example.com' OR suffix({_host('url')}, '.example.com') OR starts_with({_key('url')}, 'm.') AS INTEGER) AS in_scope FROM pages""",
     "canonical_twins": f"SELECT page_id, org, CASE WHEN row_number() OVER (PARTITION BY org, key ORDER BY page_id) > 1 THEN 'canonical_duplicate' ELSE 'kept' END AS state FROM (SELECT page_id, {_host('url')} AS org, {_key(_CANON)} AS key FROM pages)",
+    "link_extract_markup": f"WITH {_LINKS_ODD} SELECT * FROM links",
+    "page_metadata_markup": f"WITH {_ODD} SELECT page_id, {_meta('description')} AS description, {_meta('og:title')} AS og_title FROM odd",
     "link_extract": f"WITH {_LINKS} SELECT * FROM links",
     "link_distinct": f"WITH {_LINKS} SELECT page_id, {_key('target')} AS key, arg_min(target, pos) AS target, min(pos) AS pos, count(*) AS n FROM links GROUP BY 1, 2",
-    "link_collapse": f"WITH {_LINKS} SELECT {_host('source')} AS org, target, min(source) AS first_source, max(link_type) AS link_type, count(*) AS occurrences, min(page_id) AS first_seen, max(page_id) AS last_seen FROM links GROUP BY 1, 2",
+    "link_collapse": f"WITH {_LINKS} SELECT {_host('source')} AS org, target, min(source) AS first_source, min(anchor) AS anchor, max(link_type) AS link_type, count(*) AS occurrences, min(page_id) AS first_seen, max(page_id) AS last_seen FROM links GROUP BY 1, 2",
     "shared_refs": f"""WITH {_LINKS}, r AS (SELECT DISTINCT lower({_path('target')}) AS resource, {_host('source')} AS org FROM links)
 SELECT org_a, org_b, count(*) AS weight, array_to_string(list_sort(list(resource))[1:5], ',') AS samples FROM (SELECT a.org AS org_a, b.org AS org_b, a.resource FROM r a JOIN r b ON a.resource = b.resource AND a.org < b.org) GROUP BY 1, 2""",
     "direct_refs": f"""WITH {_LINKS}, owners AS (SELECT DISTINCT {_host('url')} AS host, regexp_replace({_host('url')}, '^[^.]*\\.', '') AS org FROM pages),
