@@ -187,16 +187,16 @@ def context(text, at, reach: int) -> Column:
     """reach characters to either side of a place (from 0), with marks where the text goes on."""
     t = F.col(text) if isinstance(text, str) else text
     lo, hi = F.greatest(F.lit(0), at - reach), F.least(F.length(t), at + reach)
-    return F.concat(F.when(lo > 0, "...").otherwise(""), F.substr(t, lo + 1, hi - lo), F.when(hi < F.length(t), "...").otherwise(""))
+    return F.concat(F.when(lo > 0, "…").otherwise(""), F.substr(t, lo + 1, hi - lo), F.when(hi < F.length(t), "…").otherwise(""))
 
 
 def level(distance) -> Column:
-    return F.when(distance < 150, "near").when(distance < 500, "medium").otherwise("far")
+    return F.when(distance < 150, "same sentence/paragraph").when(distance < 500, "nearby paragraph").otherwise("distant")
 
 
 def without_header(c) -> Column:
     """A context without its bracketed first line and the marks at its ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s*\[.*\]\s*\n", ""), r"^\.\.\.|\.\.\.$", "")
+    return F.regexp_replace(F.regexp_replace(c, r"^\s*\[.*\]\s*\n", ""), r"^(…|\.\.\.)|(…|\.\.\.)$", "")
 
 
 def readable_name(c) -> Column:

@@ -16,13 +16,27 @@ def unnested(found: DataFrame, empty: str = "(unknown)") -> DataFrame:
     )
 
 
+def overlaps(term: str) -> bool:
+    return any(term[:k] == term[-k:] for k in range(1, len(term)))
+
+
 def places(docs: DataFrame, terms: list[str], name: str) -> DataFrame:
-    """(doc_id, name, at): every start of every term in the lower-case text, counted from 0. Splitting at a term gives its places from the lengths of the parts, JVM-side; terms that overlap themselves count once."""
+    """(doc_id, name, at): every start of every term in the lower-case text, counted from 0, overlapping ones too. Splitting at a term gives its places from the lengths of the parts, JVM-side; only terms that begin as they end can overlap themselves, and are looked for one by one."""
     t = F.lower("text")
-    parts = F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(w).alias("term"), F.split(t, X.escaped(w)).alias("parts")) for k, w in enumerate(terms)))
+    terms = [w.lower() for w in terms]
+    plain = [(k, w) for k, w in enumerate(terms) if not overlaps(w)]
+    found = None
+    for k, w in enumerate(terms):
+        if overlaps(w):
+            part = docs.select("doc_id", F.lit(k).alias(f"{name}_ord"), F.lit(w).alias(name), F.explode(X.positions(t, F.lit(w))).alias(f"{name}_at"))
+            found = part if found is None else found.unionByName(part)
+    if not plain:
+        return found
+    parts = F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(w).alias("term"), F.split(t, X.escaped(w)).alias("parts")) for k, w in plain))
     x = docs.select("doc_id", F.explode(parts).alias("p")).filter(F.size("p.parts") > 1).select("doc_id", F.col("p.ord").alias(f"{name}_ord"), F.col("p.term").alias(name), F.slice("p.parts", F.lit(1), F.size("p.parts") - 1).alias("parts"))
     ends = F.aggregate("parts", F.array().cast("array<int>"), lambda acc, s: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)) + F.length(name), F.lit(0)) + F.length(s)).cast("int"))))
-    return x.select("doc_id", f"{name}_ord", name, F.explode(ends).alias(f"{name}_at"))
+    x = x.select("doc_id", f"{name}_ord", name, F.explode(ends).alias(f"{name}_at"))
+    return x if found is None else x.unionByName(found)
 
 
 def near(docs: DataFrame, orgs: list[str], keywords: list[str], reach: int = 1200) -> DataFrame:
@@ -46,3 +60,58 @@ def with_context(pairs: DataFrame, docs: DataFrame, reach: int = 1000) -> DataFr
     j = pairs.join(docs.select("doc_id", "text"), "doc_id")
     head = F.format_string("[%s ~ %s, %d chars, %s]\n", "org", "kw", "distance", "level")
     return j.select("doc_id", "org", "kw", "distance", F.concat(head, X.context("text", F.col("anchor"), reach)).alias("context"))
+
+
+def windows(found: DataFrame, docs: DataFrame, variants: dict[str, list[str]], reach: int = 1200, width: int = 1000) -> DataFrame:
+    """(doc_id, target, context, fallback): text around the closest mention of each target and keyword, under a line that says what was found.
+
+    found: (doc_id, target, keywords). variants: the names of each target, a dictionary of driver size; a
+    target without any goes by its own name. Pairs of places are joined within cells of reach
+    characters, as in near(); of those of a document and target the closest of each name and keyword
+    count, ties by the order of names, keywords and places. Where none are near each other, the window
+    is around the first name, else the first keyword that is there, and fallback is 1.
+    """
+    rows = found.select("doc_id", "target", F.transform("keywords", F.lower).alias("keywords"))
+    names = sorted({r["target"] for r in found.select("target").distinct().collect()} | set(variants))
+    own = {t: [v.lower() for v in variants.get(t, [t])] for t in names}
+    words = sorted({k for r in rows.select(F.explode("keywords").alias("k")).distinct().collect() for k in [r["k"]]})
+    table = F.create_map(*(x for t in names for x in (F.lit(t), F.array(*map(F.lit, own[t])))))
+    flat = sorted({v for vs in own.values() for v in vs})
+    p = near(docs, flat, words, reach) if flat and words else None
+    d, hits = F.col("distance"), None
+    if p is not None:
+        j = p.join(rows, "doc_id").withColumn("a", F.array_position(F.element_at(table, F.col("target")), F.col("org"))).withColumn("b", F.array_position("keywords", F.col("kw"))).filter("a > 0 and b > 0")
+        order = F.struct("distance", "a", "b", "org_at", "kw_at", "org", "kw")
+        one = j.groupBy("doc_id", "target", "org", "kw").agg(F.min(order).alias("h"))
+        hits = one.groupBy("doc_id", "target").agg(F.array_sort(F.collect_list("h")).alias("hits"))
+    full = rows.join(docs.select("doc_id", "text"), "doc_id")
+    full = full.withColumn("hits", F.lit(None).cast("array<struct<distance:int,a:bigint,b:bigint,org_at:int,kw_at:int,org:string,kw:string>>")) if hits is None else full.join(hits, ["doc_id", "target"], "left")
+    low = F.lower("text")
+    first = lambda terms: F.get(F.filter(terms, lambda v: F.instr(low, v) > 0), 0)
+    full = full.withColumn("org", first(F.element_at(table, F.col("target")))).withColumn("kw", first(F.col("keywords")))
+    h, n = F.col("hits")[0], F.size("hits")
+    d = h["distance"]
+    near_enough = F.col("hits").isNotNull()
+    at = F.when(near_enough, F.floor((h["org_at"] + h["kw_at"]) / 2)).otherwise(F.coalesce(F.instr(low, F.col("org")), F.instr(low, F.col("kw"))) - 1).cast("int")
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    icon = F.when(d < 500, "✓").otherwise("~")
+    several = F.array_join(F.transform(F.slice("hits", 1, 4), lambda x: text(quote(x["org"]), "·", quote(x["kw"]), " at ", x["distance"].cast("string"), "ch")), " | ")
+    more = F.when(n > 4, text(" (+", (n - 4).cast("string"), " more)")).otherwise("")
+    head = (
+        F.when(near_enough & (n == 1), text("[", icon, " NGO ", quote(h["org"]), " + keyword ", quote(h["kw"]), " at ", d.cast("string"), " chars — ", X.level(d), "]"))
+        .when(near_enough, text("[", icon, " ", n.cast("string"), " hits — NGO ", quote(h["org"]), " + keyword ", quote(h["kw"]), " at ", d.cast("string"), " chars | also: ", several, more, "]"))
+        .when(F.col("org").isNotNull() & F.col("kw").isNull(), text("[⚠ Fallback: NGO ", quote(F.col("org")), " found but no keyword nearby]"))
+        .when(F.col("org").isNull() & F.col("kw").isNotNull(), text("[⚠ Fallback: keyword ", quote(F.col("kw")), " found but NGO ", quote(F.col("target")), " absent]"))
+        .when(F.col("org").isNotNull(), text("[⚠ Fallback: NGO ", quote(F.col("org")), " and keyword ", quote(F.col("kw")), " beyond proximity window]"))
+        .otherwise("[⚠ MISSING BOTH: neither NGO nor keyword found — likely boilerplate]")
+    )
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[ \t\n\r\f]+", ""), r"[ \t\n\r\f]+$", "")
+    lo, hi = F.greatest(F.lit(0), at - width), F.least(F.length("text"), at + width)
+    body = F.when(at.isNull(), bare(F.left("text", F.lit(1000)))).otherwise(F.concat(F.when(lo > 0, "…").otherwise(""), bare(F.substr("text", lo + 1, hi - lo)), F.when(hi < F.length("text"), "…").otherwise("")))
+    return full.select("doc_id", "target", F.concat(head, F.lit("\n\n"), body).alias("context"), (~near_enough).cast("int").alias("fallback"))
+
+
+def proximate(contexts: DataFrame) -> DataFrame:
+    """Contexts of pairs that stand near each other: those whose first line marks a fallback go."""
+    return contexts.filter(~F.startswith("context", F.lit("[⚠")))

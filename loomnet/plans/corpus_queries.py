@@ -86,7 +86,7 @@ ORACLE = {
     "folded_text_whole": "SELECT doc_id, md5(strip_accents(text)) AS h, trim(regexp_replace(lower(strip_accents(text)), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS key FROM documents",
     "acronyms_of_names": "SELECT p_partkey, acronym FROM (SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(regexp_replace(strip_accents(p_name), '[^A-Za-z ]', '', 'g'), ' '), lambda w: length(w) >= 3), lambda w: upper(left(w, 1))), '') AS acronym FROM part) WHERE length(acronym) BETWEEN 2 AND 6",
     "token_shingles": f"WITH {_SH.format(k=5)} SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS n_words, CAST(coalesce((SELECT len(s) FROM shs WHERE shs.doc_id = documents.doc_id), 0) AS INTEGER) AS n_shingles FROM documents",
-    "contexts": "SELECT doc_id, '...' || substring(text, 61, least(length(text), 140) - 60) || CASE WHEN length(text) > 140 THEN '...' ELSE '' END AS context FROM documents",
+    "contexts": "SELECT doc_id, '…' || substring(text, 61, least(length(text), 140) - 60) || CASE WHEN length(text) > 140 THEN '…' ELSE '' END AS context FROM documents",
     "stratified_sample": f"WITH n AS (SELECT lang, greatest(1, CAST(round_even(count(*) / (SELECT count(*) FROM documents) * 100, 0) AS INTEGER)) AS need FROM documents GROUP BY 1) SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_MD.format(k='doc_id')}, doc_id) AS rn FROM documents) JOIN n USING (lang) WHERE rn <= need",
     "per_stratum_sample": f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_MD.format(k='doc_id')}, doc_id) AS rn FROM documents) WHERE rn <= 9",
     "random_pages": f"SELECT page_id, url FROM pages ORDER BY {_MD.format(k='page_id')}, page_id LIMIT 200",

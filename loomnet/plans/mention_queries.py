@@ -91,6 +91,17 @@ def contexts(s, d):
     return P.with_context(P.best(near_whole(s, d)), T(s, d, "documents"))
 
 
+NAMES = {"dull": ["idiot", "clown"], "rude": ["scum", "stupid"], "ion": ["onnion"]}
+WORDS = ["tion", "pathetic", "nden"]
+
+
+def windows(s, d):
+    """Every document with three targets: near pairs, fallbacks and neither."""
+    docs = T(s, d, "documents")
+    found = docs.select("doc_id", F.explode(F.array(*map(F.lit, NAMES))).alias("target"), F.array(*map(F.lit, WORDS)).alias("keywords"))
+    return P.windows(found, docs, NAMES)
+
+
 _PLACES = lambda terms, name: f"""{name}_p AS (SELECT doc_id, {name}_ord, {name}, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length({name}) AS INTEGER) AS {name}_at FROM
  (SELECT doc_id, {name}_ord, {name}, parts, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, o AS {name}_ord, t AS {name}, string_split(lower(text), t) AS parts FROM documents, (VALUES {_values(list(enumerate(terms)))}) AS v(o, t))))"""
 NEAR = f"""{_PLACES(["idiot", "clown", "scum"], "org")}, {_PLACES(["tion", "pathetic", "nden"], "kw")},
@@ -99,9 +110,27 @@ NEAR_WHOLE = f"""{_PLACES(["idiot", "clown", "scum"], "org")}, {_PLACES(["tion",
 near AS (SELECT *, abs(org_at - kw_at) AS distance FROM org_p JOIN kw_p USING (doc_id) WHERE abs(org_at - kw_at) <= 1200)"""
 _BEST = """one AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, org, kw ORDER BY distance, org_ord, kw_ord, org_at, kw_at) = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, org_ord, kw_ord, org_at, kw_at) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM one)
-SELECT a.doc_id, a.org, a.kw, a.distance, CASE WHEN a.distance < 150 THEN 'near' WHEN a.distance < 500 THEN 'medium' ELSE 'far' END AS level, CAST(floor((a.org_at + a.kw_at) / 2) AS INTEGER) AS anchor,
+SELECT a.doc_id, a.org, a.kw, a.distance, CASE WHEN a.distance < 150 THEN 'same sentence/paragraph' WHEN a.distance < 500 THEN 'nearby paragraph' ELSE 'distant' END AS level, CAST(floor((a.org_at + a.kw_at) / 2) AS INTEGER) AS anchor,
 (SELECT string_agg(org || '~' || kw, ', ' ORDER BY rn) FROM r b WHERE b.doc_id = a.doc_id AND b.rn <= 4) AS top_hits, CAST(greatest(n - 4, 0) AS INTEGER) AS n_more FROM r a WHERE rn = 1"""
 
+_FIRST = lambda terms: f"list_filter({terms}, lambda v: contains(lower(text), v))[1]"
+_BARE = lambda c: f"regexp_replace(regexp_replace({c}, '^[ \\t\\n\\r\\f]+', ''), '[ \\t\\n\\r\\f]+$', '')"
+WINDOWS = f"""{_PLACES(sorted(v for x in NAMES.values() for v in x), "org")}, {_PLACES(WORDS, "kw")},
+v AS (SELECT * FROM (VALUES {_values([(t, k, n) for t, x in NAMES.items() for k, n in enumerate(x)])}) AS v(target, a, org)),
+one AS (SELECT doc_id, target, org, kw, a, kw_ord AS b, org_at, kw_at, abs(org_at - kw_at) AS distance FROM org_p JOIN kw_p USING (doc_id) JOIN v USING (org) WHERE abs(org_at - kw_at) <= 1200
+ QUALIFY row_number() OVER (PARTITION BY doc_id, target, org, kw ORDER BY distance, a, b, org_at, kw_at) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY distance, a, b, org_at, kw_at) AS rn, count(*) OVER (PARTITION BY doc_id, target) AS n FROM one),
+tops AS (SELECT doc_id, target, string_agg('"' || org || '"·"' || kw || '" at ' || distance || 'ch', ' | ' ORDER BY rn) AS several FROM r WHERE rn <= 4 GROUP BY 1, 2),
+base AS (SELECT d.doc_id, t.target, d.text, r.distance, r.n, r.org AS ho, r.kw AS hk, tops.several, {_FIRST('t.own')} AS fo, {_FIRST(repr(WORDS))} AS fk, r.org_at, r.kw_at FROM documents d
+ CROSS JOIN (SELECT target, list(org ORDER BY a) AS own FROM v GROUP BY 1) t LEFT JOIN (SELECT * FROM r WHERE rn = 1) r ON r.doc_id = d.doc_id AND r.target = t.target LEFT JOIN tops ON tops.doc_id = d.doc_id AND tops.target = t.target),
+placed AS (SELECT *, CAST(CASE WHEN n IS NOT NULL THEN floor((org_at + kw_at) / 2) ELSE coalesce(strpos(lower(text), fo), strpos(lower(text), fk)) - 1 END AS INTEGER) AS anchor FROM base),
+windows AS (SELECT doc_id, target, CASE WHEN n = 1 THEN '[' || CASE WHEN distance < 500 THEN '✓' ELSE '~' END || ' NGO "' || ho || '" + keyword "' || hk || '" at ' || distance || ' chars — ' || CASE WHEN distance < 150 THEN 'same sentence/paragraph' WHEN distance < 500 THEN 'nearby paragraph' ELSE 'distant' END || ']'
+ WHEN n > 1 THEN '[' || CASE WHEN distance < 500 THEN '✓' ELSE '~' END || ' ' || n || ' hits — NGO "' || ho || '" + keyword "' || hk || '" at ' || distance || ' chars | also: ' || several || CASE WHEN n > 4 THEN ' (+' || (n - 4) || ' more)' ELSE '' END || ']'
+ WHEN fo IS NOT NULL AND fk IS NULL THEN '[⚠ Fallback: NGO "' || fo || '" found but no keyword nearby]' WHEN fo IS NULL AND fk IS NOT NULL THEN '[⚠ Fallback: keyword "' || fk || '" found but NGO "' || target || '" absent]'
+ WHEN fo IS NOT NULL THEN '[⚠ Fallback: NGO "' || fo || '" and keyword "' || fk || '" beyond proximity window]' ELSE '[⚠ MISSING BOTH: neither NGO nor keyword found — likely boilerplate]' END || chr(10) || chr(10) ||
+ CASE WHEN anchor IS NULL THEN {_BARE('left(text, 1000)')} ELSE CASE WHEN anchor > 1000 THEN '…' ELSE '' END || {_BARE('substring(text, greatest(0, anchor - 1000) + 1, least(length(text), anchor + 1000) - greatest(0, anchor - 1000))')} || CASE WHEN anchor + 1000 < length(text) THEN '…' ELSE '' END END AS context,
+ CAST(n IS NULL AS INTEGER) AS fallback FROM placed)"""
+
 QUERIES = {
     "mention_hits_cased": lambda s, d: M.org_hits(T(s, d, "documents"), s.createDataFrame(CASED, "org string, term string, mode string")),
     "mention_hits": lambda s, d: M.org_hits(T(s, d, "documents"), orgs(s)),
@@ -124,6 +153,8 @@ QUERIES = {
     "proximity_pairs_1200": lambda s, d: near_whole(s, d).select("doc_id", "org", "kw", "org_at", "kw_at", "distance"),
     "best_window_1200": lambda s, d: P.best(near_whole(s, d)),
     "pair_contexts": contexts,
+    "target_windows": windows,
+    "proximity_only": lambda s, d: P.proximate(windows(s, d)).groupBy("target").agg(F.count("*").alias("n")),
 }
 _SCORE = f"""scored AS (SELECT doc_id, source, mention_count, raw_score, word_count, round(CASE WHEN word_count = 0 THEN 0.0 ELSE raw_score * 100.0 / word_count END, 6) AS density FROM (
 SELECT doc_id, source, len(regexp_extract_all({N}, '\\b(?:idiot|clown)\\b')) AS mention_count, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) AS word_count,
@@ -163,4 +194,8 @@ FROM targets t JOIN cut USING (doc_id) WHERE len(targets) > 0 AND len(keywords)
     "best_window": f"WITH {NEAR}, {_BEST}",
     "proximity_pairs_1200": f"WITH {NEAR_WHOLE} SELECT doc_id, org, kw, org_at, kw_at, distance FROM near",
     "best_window_1200": f"WITH {NEAR_WHOLE}, {_BEST}",
+    "pair_contexts": f"""WITH {NEAR_WHOLE}, best AS ({_BEST.replace("one AS", "SELECT * FROM (WITH one AS", 1)}))
+SELECT doc_id, org, kw, distance, '[' || org || ' ~ ' || kw || ', ' || distance || ' chars, ' || level || ']' || chr(10) || CASE WHEN anchor > 1000 THEN '…' ELSE '' END || substring(text, greatest(0, anchor - 1000) + 1, least(length(text), anchor + 1000) - greatest(0, anchor - 1000)) || CASE WHEN anchor + 1000 < length(text) THEN '…' ELSE '' END AS context FROM best JOIN documents USING (doc_id)""",
+    "target_windows": f"WITH {WINDOWS} SELECT * FROM windows",
+    "proximity_only": f"WITH {WINDOWS} SELECT target, count(*) AS n FROM windows WHERE fallback = 0 GROUP BY target",
 }
