@@ -51,17 +51,6 @@ def transitivity(edges: DataFrame) -> DataFrame:
     return p.agg(F.sum("k").alias("paths"), F.coalesce(F.sum(F.when(F.col("closed") == 1, F.col("k"))), F.lit(0)).alias("closed")).withColumn("transitivity", F.round(F.try_divide("closed", "paths"), 6))
 
 
-def triads(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Census of the triads in classes of mutual, asymmetric and null dyads."""
-    kind = edges.groupBy(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")).agg(F.count("*").alias("k"))
-    n = nodes.select("node")
-    grid = n.select(F.col("node").alias("a")).crossJoin(n.select(F.col("node").alias("b"))).filter("a < b").join(kind, ["a", "b"], "left").fillna(0, ["k"])
-    ab, bc, ac = grid.select("a", "b", F.col("k").alias("x")), grid.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("k").alias("y")), grid.select("a", F.col("b").alias("c"), F.col("k").alias("z"))
-    t = ab.join(bc, "b").join(ac, ["a", "c"])
-    of = lambda v: sum(((F.col(c) == v).cast("int") for c in "xyz"), F.lit(0))
-    return t.groupBy(F.concat(of(2).cast("string"), of(1).cast("string"), of(0).cast("string")).alias("man")).agg(F.count("*").alias("n"))
-
-
 #: Classes of 16 by the codes of arcs a-b, b-c, a-c; built from canonical forms.
 def _triad_names() -> dict[int, str]:
     names = {"003": [], "012": [(0, 1)], "102": [(0, 1), (1, 0)], "021D": [(1, 0), (1, 2)], "021U": [(0, 1), (2, 1)], "021C": [(0, 1), (1, 2)], "111D": [(0, 1), (1, 0), (2, 1)], "111U": [(0, 1), (1, 0), (1, 2)], "030T": [(0, 1), (1, 2), (0, 2)], "030C": [(0, 1), (1, 2), (2, 0)], "201": [(0, 1), (1, 0), (1, 2), (2, 1)], "120D": [(1, 0), (1, 2), (0, 2), (2, 0)], "120U": [(0, 1), (2, 1), (0, 2), (2, 0)], "120C": [(0, 1), (1, 2), (0, 2), (2, 0)], "210": [(0, 1), (1, 2), (2, 1), (0, 2), (2, 0)], "300": [(i, j) for i in range(3) for j in range(3) if i != j]}
@@ -72,15 +61,31 @@ def _triad_names() -> dict[int, str]:
 
 
 def triad_census(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All sixteen classes of triads, those that don't occur with 0."""
-    n = nodes.select("node")
-    code = edges.groupBy(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")).agg((F.max((F.col("src") < F.col("tgt")).cast("int")) + 2 * F.max((F.col("src") > F.col("tgt")).cast("int"))).alias("k"))
-    grid = n.select(F.col("node").alias("a")).crossJoin(n.select(F.col("node").alias("b"))).filter("a < b").join(code, ["a", "b"], "left").fillna(0, ["k"])
-    t = grid.select("a", "b", F.col("k").alias("x")).join(grid.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("k").alias("y")), "b").join(grid.select("a", F.col("b").alias("c"), F.col("k").alias("z")), ["a", "c"])
+    """All sixteen classes of triads, those that don't occur with 0. Triads with two ties or more come from pairs of ties that share a node, those with one and none by subtraction, so that work grows with the ties and not with the cube of the nodes."""
+    dyads_ = edges.filter("src <> tgt").groupBy(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")).agg((F.max((F.col("src") < F.col("tgt")).cast("int")) + 2 * F.max((F.col("src") > F.col("tgt")).cast("int"))).alias("k"))
+    both = dyads_.select(F.col("a").alias("c"), F.col("b").alias("p"), "k").unionByName(dyads_.select(F.col("b").alias("c"), F.col("a").alias("p"), "k"))
+    w = both.select("c", "p", F.col("k").alias("kp")).join(both.select("c", F.col("p").alias("q"), F.col("k").alias("kq")), "c").filter("p < q")
+    w = w.join(dyads_.select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("k").alias("kpq")), ["p", "q"], "left").fillna(0, ["kpq"])
+    # a closed triad has three such pairs: that of its least node counts
+    t = w.filter("kpq = 0 or c < p")
+    code = F.when(F.col("c") < F.col("p"), F.col("kp") + 4 * F.col("kpq") + 16 * F.col("kq")).when(F.col("c") < F.col("q"), F.col("kp") + 4 * F.col("kq") + 16 * F.col("kpq")).otherwise(F.col("kpq") + 4 * F.col("kq") + 16 * F.col("kp"))
     table = F.create_map(*(F.lit(v) for kv in _triad_names().items() for v in kv))
-    c = t.groupBy(F.element_at(table, (F.col("x") + 4 * F.col("y") + 16 * F.col("z")).cast("int")).alias("triad")).agg(F.count("*").alias("n"))
+    many = t.groupBy(F.element_at(table, code.cast("int")).alias("triad")).agg(F.count("*").alias("n"))
+    # of a tie's n - 2 third nodes, those tied to neither of its ends
+    degree = both.groupBy("c").agg(F.count("*").alias("deg"))
+    common = w.filter("kpq > 0").groupBy(F.col("p").alias("a"), F.col("q").alias("b")).agg(F.count("*").alias("common"))
+    one = dyads_.join(degree.select(F.col("c").alias("a"), F.col("deg").alias("da")), "a").join(degree.select(F.col("c").alias("b"), F.col("deg").alias("db")), "b").join(common, ["a", "b"], "left").fillna(0, ["common"]).crossJoin(nodes.agg(F.count("*").alias("all")))
+    one = one.groupBy(F.when(F.col("k") == 3, "102").otherwise("012").alias("triad")).agg(F.sum(F.col("all") - F.col("da") - F.col("db") + F.col("common")).alias("n"))
+    some = many.unionByName(one)
+    total = nodes.agg((F.count("*") * (F.count("*") - 1) * (F.count("*") - 2) / 6).cast("long").alias("total"))
+    none = total.crossJoin(some.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"))).select(F.lit("003").alias("triad"), (F.col("total") - F.col("s")).alias("n"))
     every = edges.sparkSession.createDataFrame([(x,) for x in sorted(set(_triad_names().values()))], "triad string")
-    return every.join(c, "triad", "left").fillna(0)
+    return every.join(some.unionByName(none).groupBy("triad").agg(F.sum("n").alias("n")), "triad", "left").fillna(0, ["n"])
+
+
+def triads(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Census of the triads in classes of mutual, asymmetric and null dyads, those that occur."""
+    return triad_census(edges, nodes).groupBy(F.left("triad", F.lit(3)).alias("man")).agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def shared_partners(edges: DataFrame, cap: int = 8) -> DataFrame:
@@ -428,3 +433,67 @@ def mple(m: np.ndarray, category: np.ndarray) -> dict[str, float]:
     same = (category[:, None] == category[None, :]).astype(float)
     b, r2 = logit(np.column_stack([m.T[off], same[off]]), m[off])
     return {"edges": float(b[0]), "mutual": float(b[1]), "nodematch": float(b[2]), "pseudo_r2": r2}
+
+
+def brokers(metrics: DataFrame) -> DataFrame:
+    """metrics (node, degree, betweenness) with the broker index: betweenness over the share of the highest degree; null for isolates."""
+    top = metrics.agg(F.max("degree").alias("top"))
+    return metrics.crossJoin(top).withColumn("broker", F.when(F.col("degree") > 0, F.round(F.col("betweenness") / (F.col("degree") / F.col("top")), 4))).drop("top")
+
+
+def rank_preservation(means: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(a, b, spearman) of each two networks' mean degrees by category (category, degree), a category that one lacks counting 0."""
+    every = means[0][1].select("category")
+    for _, m in means[1:]:
+        every = every.unionByName(m.select("category"))
+    every, out = every.distinct(), None
+    for i, (x, mx) in enumerate(means):
+        for y, my in means[i + 1 :]:
+            j = every.join(mx.select("category", F.col("degree").alias("u")), "category", "left").join(my.select("category", F.col("degree").alias("v")), "category", "left").fillna(0.0, ["u", "v"])
+            r = average_rank(average_rank(j, "u", "ru"), "v", "rv").agg(F.round(F.corr("ru", "rv"), 6).alias("spearman")).select(F.lit(x).alias("a"), F.lit(y).alias("b"), "spearman")
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
+def deltas(windows: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """What validation changes in each window (name, raw overlap, validated overlap): F1, precision and recall of both and their differences."""
+    out = None
+    for name, raw, valid in windows:
+        r = raw.select(*(F.round(k, 3).alias(f"raw_{k}") for k in ("f1", "precision", "recall")), *(F.col(k).alias(f"_r{k}") for k in ("f1", "precision", "recall")))
+        v = valid.select(*(F.round(k, 3).alias(f"valid_{k}") for k in ("f1", "precision", "recall")), *(F.col(k).alias(f"_v{k}") for k in ("f1", "precision", "recall")))
+        row = r.crossJoin(v).select(F.lit(name).alias("window"), *(c for k in ("f1", "precision", "recall") for c in (f"raw_{k}", f"valid_{k}", F.round(F.col(f"_v{k}") - F.col(f"_r{k}"), 3).alias(f"delta_{k}"))))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def pairwise(values: np.ndarray, groups: np.ndarray) -> list[tuple]:
+    """(a, b, p) of each two groups by a two-sided rank test with continuity and ties; nan where there is nothing to compare."""
+    v, g, out = np.asarray(values, float), np.asarray(groups), []
+    keys = sorted(set(g.tolist()))
+    for i, x in enumerate(keys):
+        for y in keys[i + 1 :]:
+            a, b = v[g == x], v[g == y]
+            both, n, m = np.concatenate([a, b]), len(a), len(b)
+            if np.ptp(both) == 0:
+                out.append((x, y, float("nan")))
+                continue
+            u = _ranks(both)[:n].sum() - n * (n + 1) / 2
+            t = np.unique(both, return_counts=True)[1]
+            sd = math.sqrt(n * m / 12 * ((n + m + 1) - (t**3 - t).sum() / ((n + m) * (n + m - 1))))
+            z = abs(u - n * m / 2)
+            out.append((x, y, min(1.0, 2 * _upper(max(z - 0.5, 0) / sd))))
+    return out
+
+
+def report(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(section, line) of all frames, a row as JSON a line; the order of sections is that of parts."""
+    out = None
+    for k, (name, df) in enumerate(parts):
+        x = df.select(F.lit(f"{k + 1}. {name}").alias("section"), F.to_json(F.struct(*df.columns)).alias("line"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def missing(requested: DataFrame, present: DataFrame) -> DataFrame:
+    """Nodes that were asked for, and whether they are there."""
+    return requested.select("node").distinct().join(present.select("node").distinct().withColumn("there", F.lit(1)), "node", "left").fillna(0, ["there"])

@@ -31,7 +31,7 @@ def framed(s, d):
     body = F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)
     head = F.regexp_replace(body, r"<[^>]*>|[^A-Za-z ]", "")
     k = F.col("page_id")
-    filler = F.repeat(F.lit("some words of the article that go on "), 4)
+    filler = F.repeat(F.lit("some words of the article that go on "), 8)
     day = F.concat(F.lit("2021-0"), (k % 9 + 1).cast("string"), F.lit("-1"), (k % 10).cast("string"))
     return T(s, d, "pages").select(
         "page_id", "url", F.concat(F.lit("<html><body><div class='top-menu'>menu</div><div class=\"links\"><a href=/a>first link</a><a href=/b>second link</a></div><div class=\""), F.when(k % 2 == 0, "entry-content").otherwise("plain"), F.lit("\"><p class=content>"), filler, head, F.lit("</p>"),
@@ -41,7 +41,7 @@ def framed(s, d):
 
 
 _HEAD = "regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>|[^A-Za-z ]', '', 'g')"
-_FILL = "repeat('some words of the article that go on ', 4)"
+_FILL = "repeat('some words of the article that go on ', 8)"
 _DAY = "'2021-0' || (page_id % 9 + 1) || '-1' || (page_id % 10)"
 _SQUASH = lambda x: f"trim(regexp_replace({x}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 _ARTICLE = f"{_FILL} || {_HEAD} || CASE page_id % 3 WHEN 0 THEN ' x' WHEN 1 THEN ' Published: ' || (page_id % 28 + 1) || '. 5. 2020' ELSE '' END"

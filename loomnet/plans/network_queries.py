@@ -63,7 +63,32 @@ def perms(s: SparkSession, d: str):
     return S.qap(a, b, s, 15_000)
 
 
+def broker_rows(s, d):
+    c = S.centralities(graph(s, d).withColumn("network", F.lit("all")), nodes(s, d))
+    return S.brokers(c.select("node", (F.col("in_degree") + F.col("out_degree")).alias("degree"), "betweenness"))
+
+
+def category_degrees(g, s, d):
+    return S.category_means(S.degrees(g, nodes(s, d)), kinds(s, d)).select("category", "degree")
+
+
+def pairwise_rows(s, d):
+    """Two-sided tests of each two categories' degrees, adjusted."""
+    x = S.degrees(graph(s, d), nodes(s, d)).join(kinds(s, d), "node").select("category", "degree").toPandas()
+    return S.benjamini_hochberg(s.createDataFrame([(int(a), int(b), p) for a, b, p in S.pairwise(x.degree, x.category)], "a int, b int, p double"))
+
+
+def report_rows(s, d):
+    return S.report([("degrees", S.degrees(graph(s, d), nodes(s, d))), ("dyads", S.dyads(graph(s, d), nodes(s, d))), ("overlap", S.overlap(graph(s, d), sparse(s, d), nodes(s, d)))]).groupBy("section").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "broker_index": broker_rows,
+    "rank_preservation": lambda s, d: S.rank_preservation([("graph", category_degrees(graph(s, d), s, d)), ("sparse", category_degrees(sparse(s, d), s, d)), ("second", category_degrees(second(s, d), s, d))]),
+    "validation_delta": lambda s, d: S.deltas([("all", S.overlap(graph(s, d), second(s, d), nodes(s, d)), S.overlap(sparse(s, d), second(s, d), nodes(s, d)))]),
+    "wilcoxon_pairwise": pairwise_rows,
+    "comparison_report": report_rows,
+    "missing_nodes": lambda s, d: S.missing(nodes(s, d), graph(s, d).select(F.col("src").alias("node"))),
     "degrees": lambda s, d: S.degrees(graph(s, d), nodes(s, d)),
     "dyad_census": lambda s, d: S.dyads(graph(s, d), nodes(s, d)),
     "transitivity": lambda s, d: S.transitivity(graph(s, d)),
@@ -93,7 +118,18 @@ _DY = "dy AS (SELECT least(src, tgt) AS a, greatest(src, tgt) AS b, count(*) AS
 _ENDS = "ends AS (SELECT src AS node, tgt AS other FROM graph UNION ALL SELECT tgt, src FROM graph)"
 _KINDS = "kinds AS (SELECT n_nationkey AS node, n_regionkey AS category FROM nation)"
 _RANK = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
+_CODES = "CASE x + 4 * y + 16 * z " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in sorted(S._triad_names().items())) + " END"
+_MEANS = lambda g: f"(SELECT n_regionkey AS category, avg((SELECT count(*) FROM {g} WHERE tgt = n_nationkey) + (SELECT count(*) FROM {g} WHERE src = n_nationkey)) AS u FROM nation GROUP BY 1)"
+_PRESERVED = lambda a, b: f"SELECT '{a}' AS a, '{b}' AS b, round(corr(ru, rv), 6) AS spearman FROM (SELECT {_RANK('u')} AS ru, {_RANK('v')} AS rv FROM (SELECT m.u, w.u AS v FROM {_MEANS(a)} m JOIN {_MEANS(b)} w USING (category)))"
+_OVER = lambda g: f"(SELECT 2 * tp / (2 * tp + fp + fn) AS f1, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM (SELECT count(*) FILTER (a AND b) AS tp, count(*) FILTER (a AND NOT b) AS fp, count(*) FILTER (NOT a AND b) AS fn FROM (SELECT (m.n_nationkey, n.n_nationkey) IN (SELECT (src, tgt) FROM {g}) AS a, (m.n_nationkey, n.n_nationkey) IN (SELECT (src, tgt) FROM second) AS b FROM nation m JOIN nation n ON m.n_nationkey <> n.n_nationkey)))"
 ORACLE = {
+    "triad_census": f"""WITH {GRAPH}, g AS (SELECT x.n_nationkey AS a, y.n_nationkey AS b, CAST((x.n_nationkey, y.n_nationkey) IN (SELECT (src, tgt) FROM graph) AS INTEGER) + 2 * CAST((y.n_nationkey, x.n_nationkey) IN (SELECT (src, tgt) FROM graph) AS INTEGER) AS k FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey),
+t AS (SELECT p.k AS x, q.k AS y, r.k AS z FROM g p JOIN g q ON q.a = p.b JOIN g r ON r.a = p.a AND r.b = q.b), c AS (SELECT {_CODES} AS triad, count(*) AS n FROM t GROUP BY 1)
+SELECT v.triad, coalesce(n, 0) AS n FROM (VALUES {", ".join(f"('{x}')" for x in sorted(set(S._triad_names().values())))}) AS v(triad) LEFT JOIN c USING (triad)""",
+    "rank_preservation": f"WITH {GRAPH}, {SPARSE}, {SECOND} " + " UNION ALL ".join(_PRESERVED(a, b) for a, b in (("graph", "sparse"), ("graph", "second"), ("sparse", "second"))),
+    "validation_delta": f"""WITH {GRAPH}, {SPARSE}, {SECOND} SELECT 'all' AS window, round(x.f1, 3) AS raw_f1, round(y.f1, 3) AS valid_f1, round(round(y.f1, 6) - round(x.f1, 6), 3) AS delta_f1, round(x.p, 3) AS raw_precision, round(y.p, 3) AS valid_precision, round(round(y.p, 6) - round(x.p, 6), 3) AS delta_precision, round(x.r, 3) AS raw_recall, round(y.r, 3) AS valid_recall, round(round(y.r, 6) - round(x.r, 6), 3) AS delta_recall FROM {_OVER('graph')} x, {_OVER('sparse')} y""",
+    "comparison_report": f"WITH {GRAPH} SELECT '1. degrees' AS section, count(*) AS n FROM nation UNION ALL SELECT '2. dyads', 1 UNION ALL SELECT '3. overlap', 1",
+    "missing_nodes": f"WITH {GRAPH} SELECT n_nationkey AS node, CAST(n_nationkey IN (SELECT src FROM graph) AS INTEGER) AS there FROM nation",
     "degrees": f"WITH {GRAPH}, {_DEG.format(g='graph')} SELECT *, in_degree + out_degree AS degree FROM deg",
     "dyad_census": f"""WITH {GRAPH}, {_DY}, c AS (SELECT count(*) FILTER (k = 2) AS mutual, count(*) FILTER (k = 1) AS "asymmetric", (SELECT count(*) FROM nation) AS n FROM dy), e AS (SELECT *, n * (n - 1) // 2 - mutual - "asymmetric" AS nulls FROM c)
 SELECT mutual, "asymmetric", nulls, round((2 * mutual + "asymmetric") / (n * (n - 1)), 6) AS density, round((mutual + nulls) / (n * (n - 1) / 2), 6) AS dyadic, round(mutual / (mutual + "asymmetric"), 6) AS nonnull FROM e""",
