@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, one of our own, and that on a single machine only."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        d = "file://" + tempfile.mkdtemp(prefix="loomnet-shared-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared(spark)}/loomnet/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        d = spark.conf.get("spark.checkpoint.dir", None)
-        if not d:
-            d = "file://" + tempfile.mkdtemp(prefix="loomnet-shared-")
-            spark.conf.set("spark.checkpoint.dir", d)
-        sc.setCheckpointDir(d)
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

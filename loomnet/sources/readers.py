@@ -7,6 +7,7 @@ import io
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomnet.functions import text as X
 
@@ -49,6 +50,48 @@ def variants(spark: SparkSession, path: str, name: str = "name", aliases: str =
     return d.select(F.col(name).alias("org"), F.explode(F.array_distinct(F.filter(v, lambda x: x != ""))).alias("variant"))
 
 
+ORG_DEFAULTS = {"priority": 3, "url": None, "url_type": "domain", "depth_limit": 5}
+
+
+def orgs_yaml(spark: SparkSession, path: str, defaults: dict | None = None) -> DataFrame:
+    """(name, aliases, priority, url, url_type, depth_limit) of a YAML list of organisations, defaults where a field isn't given. Read as one text by Spark, so that any file system will do."""
+    import yaml
+
+    d = ORG_DEFAULTS | (defaults or {})
+    text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())  # a configuration, of driver size
+    rows = [(o["name"], list(dict.fromkeys([o["name"], *(o.get("aliases") or [])])), *(o.get(k, v) for k, v in d.items())) for o in yaml.safe_load(text) or []]
+    return spark.createDataFrame(rows, "name string, aliases array<string>, priority int, url string, url_type string, depth_limit int")
+
+
+def sqlite(spark: SparkSession, path: str, table: str, columns: str, parts: int = 8) -> DataFrame:
+    """A table of a SQLite file, opened read-only in tasks, each a range of row ids. columns: their DDL. The file must be where all tasks can open it."""
+    import sqlite3
+
+    file = path.removeprefix("file://")
+
+    def connect():
+        return sqlite3.connect(f"file:{file}?mode=ro", uri=True)
+
+    names = [f.name for f in T.StructType.fromDDL(columns)]
+    quoted = ", ".join('"' + n.replace('"', '""') + '"' for n in names)
+    source = '"' + table.replace('"', '""') + '"'
+    with connect() as c:
+        lo, hi = c.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {source}").fetchone()
+    step = max(1, -(-(hi - lo + 1) // parts))
+
+    def read(batches):
+        import pandas as pd
+
+        with connect() as c:
+            for b in batches:
+                for at in b["id"]:
+                    cur = c.execute(f"SELECT {quoted} FROM {source} WHERE rowid BETWEEN ? AND ?", (int(at), int(at) + step - 1))
+                    while rows := cur.fetchmany(10_000):
+                        yield pd.DataFrame(rows, columns=names)
+
+    return spark.range(lo, hi + 1, step, parts).mapInPandas(read, columns)
+
+
 def variants_yaml(spark: SparkSession, path: str) -> DataFrame:
     """variants from a YAML list of {name, aliases}."""
     import yaml
@@ -121,6 +164,21 @@ def sitemap(spark: SparkSession, path: str, since: str | None = None) -> DataFra
     return d if since is None else d.filter(F.col("lastmod").isNull() | (F.coalesce(F.try_to_date(F.substring_index("lastmod", "T", 1)) >= F.lit(since).cast("date"), F.lit(True))))
 
 
+def sitemap_tree(spark: SparkSession, path: str, where=lambda loc: loc, since: str | None = None, depth: int = 3, most: int = 1000) -> DataFrame:
+    """url entries of a sitemap and of all that its index names, level by level, compressed ones too. where: the path of a location. Indexes are read to the driver: at most ``most`` sitemaps of at most depth levels, as crawlers bound them; beyond that it raises."""
+    seen, level = {path}, [path]
+    for _ in range(depth):
+        level = sorted({where(r["loc"].strip()) for r in sitemap_index(spark, level).filter("loc is not null").limit(most + 1).collect()} - seen)
+        if not level:
+            break
+        seen |= set(level)
+        if len(seen) > most:
+            raise ValueError(f"more than {most} sitemaps")
+    else:
+        raise ValueError(f"sitemaps nest deeper than {depth}")
+    return sitemap(spark, sorted(seen), since)
+
+
 def sitemap_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path)
 

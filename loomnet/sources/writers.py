@@ -13,6 +13,42 @@ def documents(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("year", "org").parquet(path)
 
 
+def text_tree(docs: DataFrame, path: str) -> int:
+    """One file a document, path/year/org/text/filename; gives how many were written. Files are written in tasks under their final names, so that a task that runs again writes the same."""
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        made = set()
+        for b in batches:
+            for year, org, name, text in zip(b["year"], b["org"], b["filename"], b["text"]):
+                folder = f"{root}/{year}/{org}/text"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{folder}/{name}") as f:
+                    f.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return docs.select("year", "org", "filename", "text").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def matrix_csv(wide: DataFrame, path: str, label: str = "src") -> None:
+    """An adjacency matrix as one CSV file, row labels first under an empty heading; matrices are small."""
+    wide.orderBy(label).withColumnRenamed(label, " ").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def upsert(table: str, new: DataFrame, key: list[str], order: str | None = None) -> str:
+    """Writes a table at its path with the rows of new in place of those with their keys: the next version beside the last, whose path it gives. Readers of the last one aren't disturbed."""
+    spark = new.sparkSession
+    old = spark.read.parquet(table)
+    version = f"{table.rstrip('/')}.next"
+    upserted(old, new.select(*old.columns), key, order).write.mode("overwrite").parquet(version)
+    return version
+
+
 def json_with_totals(kept: DataFrame, path: str, by: str = "org") -> None:
     """Rows as JSON lines, and totals of each group beside them."""
     kept.write.mode("overwrite").json(f"{path}/rows")
@@ -25,7 +61,9 @@ def edges_csv(edges: DataFrame, path: str, order=("src", "tgt")) -> None:
 
 
 def flat_csv(rows: DataFrame, fields: list[str], path: str) -> None:
-    rows.select(*(F.col(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields)).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file of some fields, missing ones empty, with a byte order mark for spreadsheets."""
+    out = rows.select(*(F.col(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields))
+    out.select(F.col(fields[0]).alias("\ufeff" + fields[0]), *fields[1:]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def parquet(rows: DataFrame, path: str, drop=("extracted_text",)) -> None:
