@@ -24,14 +24,14 @@ def expanded(links: DataFrame, depths: DataFrame, max_depth: int = 3, banned_pat
 
 
 def stored(fetched: DataFrame) -> DataFrame:
-    """(id, page_id, outcome) of fetched pages (id, org_id, hash, old_hash, old_path, refetch): unchanged where the content is that of the last fetch, duplicate_content where another page of the org has it already, changed on a fetch again, else new. Only changed and new ones are written; they get the org's next numbers."""
+    """(id, page_id, outcome) of fetched pages (id, org_id, hash, old_hash, old_path, refetch): unchanged where the content is that of the last fetch, duplicate_content where another page of the org has it already, changed on a fetch again, else new. Only changed and new ones are written; they get the org's next numbers, the others 0."""
     first = Window.partitionBy("org_id", "hash").orderBy("id")
     same = F.col("old_hash").eqNullSafe(F.col("hash")) & F.col("old_path").isNotNull()
     x = fetched.withColumn("same", same).withColumn("rank", F.row_number().over(first))
     x = x.withColumn("outcome", F.when(F.col("same"), "unchanged").when(F.col("rank") > 1, "duplicate_content").when(F.col("refetch") == 1, "changed").otherwise("new"))
     keep = F.col("outcome").isin("changed", "new")
     seq = F.sum(keep.cast("int")).over(Window.partitionBy("org_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    return x.select("id", "org_id", "outcome", F.when(keep, seq).cast("long").alias("seq"))
+    return x.select("id", "org_id", "outcome", F.when(keep, seq).otherwise(0).cast("long").alias("seq"))
 
 
 def numbered(pages: DataFrame, last: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ c AS (SELECT page_id, pos, parent, org_id, depth, {_CANON} AS url FROM raw2), k
 w AS (SELECT *, coalesce({_EXC}, CASE WHEN contains({_path('url')}, '/de/') THEN 'path:/de/' WHEN {_DEPTH} > 2 THEN 'pagination:' || {_DEPTH} END, CASE WHEN depth > 3 THEN 'max_depth' END) AS reason FROM k)
 SELECT org_id, url, url_key, CASE WHEN reason IS NULL THEN 'pending' ELSE 'excluded' END AS status, reason, 'link' AS source, depth, parent FROM w""",
     "store_outcomes": f"""WITH {FETCHED}, o AS (SELECT *, CASE WHEN old_hash = hash AND old_path IS NOT NULL THEN 'unchanged' WHEN row_number() OVER (PARTITION BY org_id, hash ORDER BY id) > 1 THEN 'duplicate_content' WHEN refetch = 1 THEN 'changed' ELSE 'new' END AS outcome FROM fetched)
-SELECT id, org_id, outcome, CASE WHEN outcome IN ('changed', 'new') THEN CAST(count(*) FILTER (outcome IN ('changed', 'new')) OVER (PARTITION BY org_id ORDER BY id) AS BIGINT) END AS seq FROM o""",
+SELECT id, org_id, outcome, CASE WHEN outcome IN ('changed', 'new') THEN CAST(count(*) FILTER (outcome IN ('changed', 'new')) OVER (PARTITION BY org_id ORDER BY id) AS BIGINT) ELSE 0 END AS seq FROM o""",
     "page_numbers": f"WITH {FETCHED} SELECT id, org_id, coalesce(10 * (SELECT nullif(count(*), 0) FROM fetched g WHERE g.org_id = f.org_id AND g.id % 4 = 0), 0) + row_number() OVER (PARTITION BY org_id ORDER BY id) AS seq FROM fetched f",
     "queue_rows": f"WITH {QUEUE} SELECT coalesce(priority, 3) AS priority, depth, normal AS url, parent FROM st WHERE state = 'queued'",
     "queue_counters": f"WITH {QUEUE} SELECT " + ", ".join(f"count(*) FILTER (state = '{n}') AS {n}" for n in ("queued", "duplicate", "skipped_invalid", "skipped_depth", "skipped_max_pages")) + " FROM st",
