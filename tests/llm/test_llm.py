@@ -125,7 +125,7 @@ def test_near_dedup_awkward(spark):
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11]
 
 
-@pytest.mark.parametrize("how", [{"leaf": 16}, {"leaf": 4, "depth": 1}, {"leaf": 4, "depth": 3, "dense": 0.9}])
+@pytest.mark.parametrize("how", [{"leaf": 16, "held": 16}, {"leaf": 4, "depth": 1, "held": 4}, {"leaf": 4, "depth": 3, "dense": 0.9, "held": 8}, {"leaf": 16}])
 def test_large_groups_branch_and_join(spark, how):
     """Nodes of any size go by one rule, and no leaf is larger than it may be."""
     rng = random.Random(3)
@@ -140,8 +140,28 @@ def test_large_groups_branch_and_join(spark, how):
     got = {r.doc_id: r.group_id for r in neardup.near_copies(docs, **how).collect()}
     assert got == {i: i % 3 for i in range(240)}
     signed = docs.distinct().mapInArrow(neardup._sign, "doc_id long, same long, n_words int, sig binary, sig8 binary")
-    leaves, _ = neardup.leaves_of(signed, 0.5, 8, 2, how["leaf"], how.get("dense", 0.6), how.get("depth", 10))
-    assert max(r["count"] for r in leaves.groupBy("path").count().collect()) <= how["leaf"]
+    leaves, _ = neardup.leaves_of(signed, 0.5, 8, 2, how["leaf"], how.get("dense", 0.6), how.get("depth", 10), how.get("held", 1 << 14))
+    assert max(r["count"] for r in leaves.groupBy("path").count().collect()) <= max(how["leaf"], how.get("held", 1 << 14))
+
+
+def test_compare_skips_only_connected_pairs():
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        base = rng.integers(0, 256, (3, neardup.TOKENS), dtype=np.uint8)
+        sig = base[rng.integers(0, 3, 30)].copy()
+        noise = rng.random(sig.shape) < rng.choice([0.1, 0.3, 0.5], 30)[:, None]
+        sig[noise] = rng.integers(0, 256, noise.sum(), dtype=np.uint8)
+        a, b, ok = neardup.compare(np.arange(30), sig, 0.5)
+        root = list(range(30))
+        same = (sig[:, None] == sig[None]).sum(2)
+        for _ in range(30):
+            for i in range(30):
+                for j in range(30):
+                    if same[i, j] >= (0.5 + neardup.MARGIN) * neardup.TOKENS:
+                        root[i] = root[j] = min(root[i], root[j])
+        assert {(x, y) for x, y, o in zip(a, b, ok) if o} == {(root[j], j) for j in range(30) if root[j] != j}
+        near = {(i, j) for i in range(30) for j in range(i + 1, 30) if (0.5 - neardup.MARGIN) * neardup.TOKENS <= same[i, j] and root[i] != root[j]}
+        assert {(x, y) for x, y, o in zip(a, b, ok) if not o} == near
 
 
 # 3
