@@ -91,7 +91,7 @@ def reused(spark: SparkSession, path: str, pages: DataFrame, force: bool = False
 def cleaned_corpus(pages: DataFrame, org, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """The first cleaning as one plan: main texts, near duplicates, and of each group its representative; metadata says of each page what it is a duplicate of."""
     texts = extracted(pages.withColumn("org", org), "main").filter("status = 'ok'").select(F.col("page_id").alias("doc_id"), "text")
-    groups = U.greedy(U.similar_pairs(texts, threshold), texts)
+    groups = U.clusters(texts, threshold)
     meta = texts.join(groups, "doc_id").select("doc_id", F.length("text").alias("n_chars"), (F.col("master") != F.col("doc_id")).cast("int").alias("is_duplicate"), F.when(F.col("master") != F.col("doc_id"), F.col("master")).alias("duplicate_of"))
     return texts.join(meta.filter("is_duplicate = 0").select("doc_id"), "doc_id", "left_semi"), meta
 

@@ -41,8 +41,7 @@ def year_summary(pairs: DataFrame) -> DataFrame:
 
 def cells(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every ordered pair of nodes (ord, node) with 0 or 1; the diagonal is 0."""
-    n = F.broadcast(nodes)
-    grid = nodes.select(F.col("node").alias("src")).crossJoin(n.select(F.col("node").alias("tgt")))
+    grid = nodes.select(F.col("node").alias("src")).crossJoin(nodes.select(F.col("node").alias("tgt")))
     e = edges.select("src", "tgt", F.lit(1).alias("v")).distinct()
     return grid.join(e, ["src", "tgt"], "left").select("src", "tgt", F.when(F.col("src") == F.col("tgt"), 0).otherwise(F.coalesce("v", F.lit(0))).alias("v"))
 
@@ -80,17 +79,16 @@ def node_degrees(edges: DataFrame, core: DataFrame) -> DataFrame:
     """Degree of each end of merged edges (a, b, type, weight), by kind of edge, and its tier."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"), "type", "weight")
     d = ends.groupBy("node").agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"), F.count_if(F.contains("type", F.lit("fund"))).alias("n_funding"), F.count_if(F.contains("type", F.lit("collab"))).alias("n_collab"))
-    return d.join(F.broadcast(core.select("node", F.lit("core").alias("tier"))), "node", "left").fillna("snowball", ["tier"])
+    return d.join(core.select("node", F.lit("core").alias("tier")), "node", "left").fillna("snowball", ["tier"])
 
 
 def within(edges: DataFrame, core: DataFrame) -> DataFrame:
     """Edges with both ends in the core: two semi joins."""
-    c = F.broadcast(core)
-    return edges.join(c.select(F.col("node").alias("a")), "a", "left_semi").join(c.select(F.col("node").alias("b")), "b", "left_semi")
+    return edges.join(core.select(F.col("node").alias("a")), "a", "left_semi").join(core.select(F.col("node").alias("b")), "b", "left_semi")
 
 
 def touching(edges: DataFrame, core: DataFrame) -> DataFrame:
-    c = F.broadcast(core.select("node").distinct())
+    c = core.select("node").distinct()
     hit = edges.join(c.select(F.col("node").alias("a"), F.lit(1).alias("x")), "a", "left").join(c.select(F.col("node").alias("b"), F.lit(1).alias("y")), "b", "left")
     return hit.filter("x = 1 or y = 1").drop("x", "y")
 

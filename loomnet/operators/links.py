@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomnet.functions import text as X
@@ -39,8 +39,11 @@ def shared(found: DataFrame, least: int = 2, samples: int = 5) -> DataFrame:
     r = found.select(F.lower(U.path("target")).alias("resource"), U.host("source").alias("org")).distinct()
     many = r.groupBy("resource").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("resource")
     r = r.join(many, "resource", "left_semi")
-    p = r.alias("a").join(r.alias("b"), "resource").filter("a.org < b.org")
-    return p.groupBy(F.col("a.org").alias("org_a"), F.col("b.org").alias("org_b")).agg(F.count("*").alias("weight"), F.array_join(F.slice(F.array_sort(F.collect_list("resource")), 1, samples), ",").alias("samples"))
+    p = r.alias("a").join(r.alias("b"), "resource").filter("a.org < b.org").select(F.col("a.org").alias("org_a"), F.col("b.org").alias("org_b"), "resource")
+    # the first few of each pair are picked before anything is gathered
+    first = p.withColumn("rn", F.row_number().over(Window.partitionBy("org_a", "org_b").orderBy("resource"))).filter(F.col("rn") <= samples)
+    first = first.groupBy("org_a", "org_b").agg(F.array_join(F.array_sort(F.collect_list("resource")), ",").alias("samples"))
+    return p.groupBy("org_a", "org_b").agg(F.count("*").alias("weight")).join(first, ["org_a", "org_b"])
 
 
 def direct(found: DataFrame, owners: DataFrame) -> DataFrame:

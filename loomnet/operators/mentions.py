@@ -121,9 +121,9 @@ def with_twins(variants: DataFrame) -> DataFrame:
 
 
 def mentioning(docs: DataFrame, orgs: DataFrame) -> DataFrame:
-    """(org, n_docs, docs): for each organisation the documents of others that mention it."""
-    hits = org_hits(docs, orgs).filter("is_self = 0")
-    return hits.groupBy("org").agg(F.count("*").alias("n_docs"), F.array_sort(F.collect_set("doc_id")).alias("docs"))
+    """(org, doc_id, n_docs): for each organisation the documents of others that mention it, a row each, and how many they are."""
+    hits = org_hits(docs, orgs).filter("is_self = 0").select("org", "doc_id")
+    return hits.join(hits.groupBy("org").agg(F.count("*").alias("n_docs")), "org").select("org", "doc_id", "n_docs")
 
 
 def cut_boilerplate(docs: DataFrame, rules: DataFrame) -> DataFrame:

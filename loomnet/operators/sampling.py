@@ -14,8 +14,9 @@ def stratified(rows: DataFrame, by: str, key: str, target: int, seed: int = 1) -
     """About target rows, from each stratum its share, one at least. Shares round half to even."""
     size = rows.groupBy(by).agg(F.count("*").alias("n"))
     need = size.crossJoin(F.broadcast(rows.agg(F.count("*").alias("all")))).select(by, F.greatest(F.lit(1), F.bround(F.col("n") / F.col("all") * target, 0).cast("int")).alias("need"))
-    x = rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(order(key, seed), key)))
-    return x.join(F.broadcast(need), by).filter(F.col("rn") <= F.col("need")).drop("rn", "need")
+    # no stratum needs more than target, so each task keeps that many before the shuffle
+    x = rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(order(key, seed), key))).filter(F.col("rn") <= max(1, target))
+    return x.join(need, by).filter(F.col("rn") <= F.col("need")).drop("rn", "need")
 
 
 def per_stratum(rows: DataFrame, by: str, key: str, n: int, seed: int = 1) -> DataFrame:
@@ -40,5 +41,8 @@ def average_rank(rows: DataFrame, measure: str, name: str = "rank", by: list[str
 
 
 def least_rank(rows: DataFrame, measure: str, name: str = "rank") -> DataFrame:
-    """Ranks from the highest down with ties at their best; null stays null."""
-    return rows.withColumn(name, F.when(F.col(measure).isNotNull(), F.rank().over(Window.partitionBy(F.col(measure).isNull()).orderBy(F.desc(measure)))))
+    """Ranks from the highest down with ties at their best; null stays null. Only the distinct values with their counts are ordered together."""
+    values = rows.filter(F.col(measure).isNotNull()).groupBy(measure).agg(F.count("*").alias("_n"))
+    above = F.sum("_n").over(Window.orderBy(F.desc(measure)).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = values.select(measure, (F.coalesce(above, F.lit(0)) + 1).cast("int").alias(name))
+    return rows.join(ranks, measure, "left").select(*rows.columns, name)

@@ -20,11 +20,11 @@ def docs(s, d):
 
 
 def names(s, d):
-    return T(s, d, "customer").select(F.concat_ws(" ", "c_mktsegment", F.substring("c_name", -3, 3)).alias("name")).distinct()
+    return T(s, d, "customer").select(F.concat_ws(" ", "c_mktsegment", "c_name").alias("name")).distinct()
 
 
 def core(s):
-    return s.createDataFrame([("BUILDING 001",), ("MACHINERY 777",), ("AUTOMOBILE 12",)], "core string")
+    return s.createDataFrame([("BUILDING Customer#000000001",), ("MACHINERY Customer#000000777",), ("AUTOMOBILE Customer#12",)], "core string")
 
 
 def text_dates(s, d):
@@ -54,15 +54,13 @@ def replies(s, d):
 
 QUERIES = {
     "exact_dups": lambda s, d: U.exact(docs(s, d)),
-    "near_dup_pairs": lambda s, d: U.similar_pairs(docs(s, d), 0.85, 5),
-    "dup_clusters": lambda s, d: U.greedy(U.similar_pairs(docs(s, d), 0.6, 3), docs(s, d)),
-    "dup_mapping": lambda s, d: U.mapping(U.greedy(U.similar_pairs(docs(s, d), 0.6, 3), docs(s, d))),
+    "near_dup_pairs": lambda s, d: U.near_pairs(docs(s, d), 0.85, 5),
+    "dup_clusters": lambda s, d: U.clusters(docs(s, d), 0.6, 3),
+    "dup_mapping": lambda s, d: U.mapping(U.clusters(docs(s, d), 0.6, 3)),
     "fuzzy_names": lambda s, d: U.fuzzy(names(s, d), core(s)),
     "actor_kinds": lambda s, d: U.validated(names(s, d), core(s)),
-    "folded_text": lambda s, d: docs(s, d).select("doc_id", F.md5(X.fold("text")).alias("h"), X.match_key(F.left("text", F.lit(80))).alias("key")),
-    "acronyms": lambda s, d: docs(s, d).select("doc_id", X.acronym(F.left("text", F.lit(30))).alias("acronym")).filter("acronym is not null"),
-    "folded_text_whole": lambda s, d: docs(s, d).select("doc_id", F.md5(X.fold("text")).alias("h"), X.match_key("text").alias("key")),
-    "acronyms_of_names": lambda s, d: T(s, d, "part").select("p_partkey", X.acronym("p_name").alias("acronym")).filter("acronym is not null"),
+    "folded_text": lambda s, d: docs(s, d).select("doc_id", F.md5(X.fold("text")).alias("h"), X.match_key("text").alias("key")),
+    "acronyms": lambda s, d: T(s, d, "part").select("p_partkey", X.acronym("p_name").alias("acronym")).filter("acronym is not null"),
     "token_shingles": lambda s, d: docs(s, d).select("doc_id", F.size(X.tokens("text")).alias("n_words"), F.size(X.shingles(X.tokens("text"), 5)).alias("n_shingles")),
     "contexts": lambda s, d: docs(s, d).select("doc_id", X.context("text", F.lit(100), 40).alias("context")),
     "chunks": lambda s, d: docs(s, d).lateralJoin(X.SentenceChunks(F.col("text").outer(), F.lit(3000), F.lit(1000))).select("doc_id", "idx", "start", F.length("chunk").alias("n_chars")),
@@ -77,14 +75,13 @@ QUERIES = {
 _TOK = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[.,;:!?()|*$%&#\"'']', '', 'g'), '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
 _SH = "shs AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END) AS s FROM (SELECT doc_id, " + _TOK + " AS w FROM documents) WHERE len(w) > 0)"
 _PAIRS = "sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM shs), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)"
+_CLASSES = f"cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS class_id FROM (SELECT doc_id, {_TOK} AS w FROM documents) WHERE len(w) > 0)"
 _MD = "md5(concat_ws(':', CAST({k} AS VARCHAR), '1'))"
 ORACLE = {
     "exact_dups": "SELECT doc_id, source, hash, first, CAST(first = doc_id AS INTEGER) AS kept, source || '-' || left(hash, 12) AS page_id FROM (SELECT *, min(doc_id) OVER (PARTITION BY source, hash) AS first FROM (SELECT doc_id, source, sha256(text) AS hash FROM documents))",
-    "near_dup_pairs": f"WITH {_SH.format(k=5)}, {_PAIRS} SELECT * FROM pairs WHERE jaccard >= 0.85",
-    "folded_text": "SELECT doc_id, md5(strip_accents(text)) AS h, trim(regexp_replace(lower(strip_accents(left(text, 80))), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS key FROM documents",
-    "acronyms": "SELECT doc_id, acronym FROM (SELECT doc_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(strip_accents(left(text, 30)), '[^A-Za-z ]', '', 'g'), ' '), lambda w: length(w) >= 3), lambda w: upper(left(w, 1))), '') AS acronym FROM documents) WHERE length(acronym) BETWEEN 2 AND 6",
-    "folded_text_whole": "SELECT doc_id, md5(strip_accents(text)) AS h, trim(regexp_replace(lower(strip_accents(text)), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS key FROM documents",
-    "acronyms_of_names": "SELECT p_partkey, acronym FROM (SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(regexp_replace(strip_accents(p_name), '[^A-Za-z ]', '', 'g'), ' '), lambda w: length(w) >= 3), lambda w: upper(left(w, 1))), '') AS acronym FROM part) WHERE length(acronym) BETWEEN 2 AND 6",
+    "near_dup_pairs": f"WITH {_CLASSES}, {_SH.format(k=5).replace('FROM documents)', 'FROM documents JOIN cls USING (doc_id) WHERE doc_id = class_id)')}, {_PAIRS} SELECT *, 'pair' AS kind FROM pairs WHERE jaccard >= 0.85 UNION ALL SELECT class_id, doc_id, 1.0, 'member' FROM cls WHERE doc_id <> class_id",
+    "folded_text": "SELECT doc_id, md5(strip_accents(text)) AS h, trim(regexp_replace(lower(strip_accents(text)), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS key FROM documents",
+    "acronyms": "SELECT p_partkey, acronym FROM (SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(regexp_replace(strip_accents(p_name), '[^A-Za-z ]', '', 'g'), ' '), lambda w: length(w) >= 3), lambda w: upper(left(w, 1))), '') AS acronym FROM part) WHERE length(acronym) BETWEEN 2 AND 6",
     "token_shingles": f"WITH {_SH.format(k=5)} SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS n_words, CAST(coalesce((SELECT len(s) FROM shs WHERE shs.doc_id = documents.doc_id), 0) AS INTEGER) AS n_shingles FROM documents",
     "contexts": "SELECT doc_id, '…' || substring(text, 61, least(length(text), 140) - 60) || CASE WHEN length(text) > 140 THEN '…' ELSE '' END AS context FROM documents",
     "stratified_sample": f"WITH n AS (SELECT lang, greatest(1, CAST(round_even(count(*) / (SELECT count(*) FROM documents) * 100, 0) AS INTEGER)) AS need FROM documents GROUP BY 1) SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_MD.format(k='doc_id')}, doc_id) AS rn FROM documents) JOIN n USING (lang) WHERE rn <= need",

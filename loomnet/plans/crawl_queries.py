@@ -101,10 +101,10 @@ _TRAP = f"CASE WHEN {_DEPTH} > 100 THEN 'pagination:' || {_DEPTH} END"
 
 
 def cases(s, d):
-    return T(s, d, "labels").join(T(s, d, "documents").select("doc_id", "source", F.left("text", F.lit(200)).alias("text"), "lang"), "doc_id").select(F.col("doc_id").alias("id"), "source", F.concat(F.lit("to "), "lang").alias("target"), "text")
+    return T(s, d, "labels").join(T(s, d, "documents").select("doc_id", "source", "text", "lang"), "doc_id").select(F.col("doc_id").alias("id"), "source", F.concat(F.lit("to "), "lang").alias("target"), "text")
 
 
-CASES = "cases AS (SELECT doc_id AS id, source, 'to ' || lang AS target, left(text, 200) AS text FROM labels JOIN documents USING (doc_id))"
+CASES = "cases AS (SELECT doc_id AS id, source, 'to ' || lang AS target, text FROM labels JOIN documents USING (doc_id))"
 
 
 def reasoned(s, d):
@@ -112,7 +112,7 @@ def reasoned(s, d):
 
 
 def prompts(s, d):
-    x = T(s, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("target"), (F.col("doc_id") % 10 + 2016).alias("year"), F.lit("an article").alias("article"), F.lit("a; b").alias("keywords"), F.concat(F.when(F.col("doc_id") % 2 == 0, "[✓ head]\n").otherwise(""), F.regexp_replace(F.left("text", F.lit(300)), r"[ \t\n\r\f]+", " ")).alias("text"))
+    x = T(s, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("target"), (F.col("doc_id") % 10 + 2016).alias("year"), F.lit("an article").alias("article"), F.lit("a; b").alias("keywords"), F.concat(F.when(F.col("doc_id") % 2 == 0, "[✓ head]\n").otherwise(""), F.regexp_replace("text", r"[ \t\n\r\f]+", " ")).alias("text"))
     return P.row_prompts(x, "Is {target} there?").select("id", F.md5("prompt").alias("h"), F.length("prompt").alias("n"))
 
 
@@ -221,7 +221,7 @@ SELECT session_id, 'Session: ' || session_id || chr(10) || 'Status: ' || status
     "session_orgs": f"WITH {SESSIONS} SELECT DISTINCT organization FROM sessions WHERE organization IS NOT NULL",
     "last_checkpoints": "SELECT user_id % 300 AS session_id, arg_max(event_id, (ts, event_id)) AS id FROM events GROUP BY 1",
     "row_prompts": """SELECT id, md5(p) AS h, length(p) AS n FROM (SELECT doc_id AS id, 'Publisher: ' || source || chr(10) || 'Mentioned: ' || lang || chr(10) || 'Year: ' || (doc_id % 10 + 2016) || chr(10) || 'Article: an article' || chr(10) || 'Keywords: a; b' || chr(10) || chr(10) || '<excerpt>' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN rtrim(x, ' ') ELSE trim(x, ' ') END || chr(10) || '</excerpt>' || chr(10) || chr(10) || 'Is ' || lang || ' there?' || chr(10) || chr(10) || 'Answer with one JSON object and nothing else.' AS p
- FROM (SELECT *, regexp_replace(left(text, 300), '[ \\t\\n\\r\\f]+', ' ', 'g') AS x FROM documents))""",
+ FROM (SELECT *, regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g') AS x FROM documents))""",
     "texts_by_id": f"WITH {CASES} SELECT id, source, target, CASE WHEN id % 3 = 0 THEN '' WHEN id % 2 = 0 THEN 't2' ELSE 't1' END AS text, CAST(id % 3 = 0 AS INTEGER) AS missing FROM cases",
     "judge_ties": f"WITH {EV.VOTES} SELECT * FROM votes WHERE majority_label IS NULL AND id % 5 <> 0",
     "judge_calibration": f"WITH {EV.VOTES} SELECT id, agreement, majority_label AS consensus FROM votes WHERE agreement IN ('4/0', '3/1') QUALIFY row_number() OVER (PARTITION BY agreement ORDER BY md5(concat_ws(':', CAST(id AS VARCHAR), '42')), id) <= 9",

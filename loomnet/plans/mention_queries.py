@@ -60,8 +60,9 @@ def gate_reasons(s, d):
 
 
 def index_docs(s, d):
+    """Documents that have labels stand in the index already."""
     docs = T(s, d, "documents")
-    return M.index(docs, orgs(s), keywords(s), docs.filter("doc_id % 2 = 0"))[0]
+    return M.index(docs, orgs(s), keywords(s), T(s, d, "labels"))[0]
 
 
 def scored(s, d):
@@ -76,19 +77,11 @@ def revalidated(s, d):
 
 
 def near(s, d):
-    return P.near(T(s, d, "documents"), ["idiot", "clown", "scum"], ["tion", "pathetic", "nden"], 300).select("doc_id", "org", "kw", "org_at", "kw_at", "distance")
-
-
-def best(s, d):
-    return P.best(P.near(T(s, d, "documents"), ["idiot", "clown", "scum"], ["tion", "pathetic", "nden"], 300))
-
-
-def near_whole(s, d):
     return P.near(T(s, d, "documents"), ["idiot", "clown", "scum"], ["tion", "pathetic", "nden"])
 
 
 def contexts(s, d):
-    return P.with_context(P.best(near_whole(s, d)), T(s, d, "documents"))
+    return P.with_context(P.best(near(s, d)), T(s, d, "documents"))
 
 
 NAMES = {"dull": ["idiot", "clown"], "rude": ["scum", "stupid"], "ion": ["onnion"]}
@@ -105,8 +98,6 @@ def windows(s, d):
 _PLACES = lambda terms, name: f"""{name}_p AS (SELECT doc_id, {name}_ord, {name}, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length({name}) AS INTEGER) AS {name}_at FROM
  (SELECT doc_id, {name}_ord, {name}, parts, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, o AS {name}_ord, t AS {name}, string_split(lower(text), t) AS parts FROM documents, (VALUES {_values(list(enumerate(terms)))}) AS v(o, t))))"""
 NEAR = f"""{_PLACES(["idiot", "clown", "scum"], "org")}, {_PLACES(["tion", "pathetic", "nden"], "kw")},
-near AS (SELECT *, abs(org_at - kw_at) AS distance FROM org_p JOIN kw_p USING (doc_id) WHERE abs(org_at - kw_at) <= 300)"""
-NEAR_WHOLE = f"""{_PLACES(["idiot", "clown", "scum"], "org")}, {_PLACES(["tion", "pathetic", "nden"], "kw")},
 near AS (SELECT *, abs(org_at - kw_at) AS distance FROM org_p JOIN kw_p USING (doc_id) WHERE abs(org_at - kw_at) <= 1200)"""
 _BEST = """one AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, org, kw ORDER BY distance, org_ord, kw_ord, org_at, kw_at) = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, org_ord, kw_ord, org_at, kw_at) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM one)
@@ -139,7 +130,7 @@ QUERIES = {
     "gate_reasons": gate_reasons,
     "index_docs_resume": index_docs,
     "index_docs_whole": lambda s, d: M.index(T(s, d, "documents"), orgs(s), keywords(s))[0],
-    "mentioning_docs": lambda s, d: M.mentioning(T(s, d, "documents"), orgs(s)).select("org", "n_docs", F.array_join("docs", ",").alias("docs")),
+    "mentioning_docs": lambda s, d: M.mentioning(T(s, d, "documents"), orgs(s)),
     "pattern_check": lambda s, d: M.pattern_check(T(s, d, "documents"), orgs(s)),
     "keyword_score": scored,
     "score_gate": lambda s, d: M.score_gate(scored(s, d)),
@@ -148,10 +139,8 @@ QUERIES = {
     "cut_boilerplate": lambda s, d: M.cut_boilerplate(T(s, d, "documents"), s.createDataFrame(RULES, "source string, marker string")),
     "revalidated_targets": revalidated,
     "unnested_targets": lambda s, d: P.unnested(found(s, d)),
-    "proximity_pairs": near,
-    "best_window": best,
-    "proximity_pairs_1200": lambda s, d: near_whole(s, d).select("doc_id", "org", "kw", "org_at", "kw_at", "distance"),
-    "best_window_1200": lambda s, d: P.best(near_whole(s, d)),
+        "proximity_pairs": lambda s, d: near(s, d).select("doc_id", "org", "kw", "org_at", "kw_at", "distance"),
+    "best_window": lambda s, d: P.best(near(s, d)),
     "pair_contexts": contexts,
     "target_windows": windows,
     "proximity_only": lambda s, d: P.proximate(windows(s, d)).groupBy("target").agg(F.count("*").alias("n")),
@@ -174,11 +163,11 @@ SELECT doc_id, org, count(*) AS n_hits, CAST(org = any_value(source) AS INTEGER)
     "gate_reasons": f"WITH {TARGETS} SELECT source, count(*) AS total, count(*) FILTER (len(targets) > 0 AND len(keywords) > 0) AS kept, count(*) FILTER (len(targets) = 0) AS no_org, count(*) FILTER (len(targets) > 0 AND len(keywords) = 0) AS no_keyword FROM targets GROUP BY source",
     "index_docs_resume": f"""WITH {ORG_HITS}, {KW_HITS} SELECT *, CAST(n_other_orgs > 0 AND n_relation_kw > 0 AS INTEGER) AS passes_gate FROM (
 SELECT doc_id, source, length(text) AS text_chars, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, (SELECT count(*) FROM org_hits o WHERE o.doc_id = d.doc_id AND is_self = 0) AS n_other_orgs,
-coalesce((SELECT CAST(sum(n_hits) AS BIGINT) FROM kw_hits k WHERE k.doc_id = d.doc_id AND category = 'relation'), 0) AS n_relation_kw FROM documents d WHERE doc_id % 2 <> 0)""",
+coalesce((SELECT CAST(sum(n_hits) AS BIGINT) FROM kw_hits k WHERE k.doc_id = d.doc_id AND category = 'relation'), 0) AS n_relation_kw FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels))""",
     "index_docs_whole": f"""WITH {ORG_HITS}, {KW_HITS} SELECT *, CAST(n_other_orgs > 0 AND n_relation_kw > 0 AS INTEGER) AS passes_gate FROM (
 SELECT doc_id, source, length(text) AS text_chars, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, (SELECT count(*) FROM org_hits o WHERE o.doc_id = d.doc_id AND is_self = 0) AS n_other_orgs,
 coalesce((SELECT CAST(sum(n_hits) AS BIGINT) FROM kw_hits k WHERE k.doc_id = d.doc_id AND category = 'relation'), 0) AS n_relation_kw FROM documents d)""",
-    "mentioning_docs": f"WITH {ORG_HITS} SELECT org, count(*) AS n_docs, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM org_hits WHERE is_self = 0 GROUP BY org",
+    "mentioning_docs": f"WITH {ORG_HITS} SELECT org, doc_id, count(*) OVER (PARTITION BY org) AS n_docs FROM org_hits WHERE is_self = 0",
     "pattern_check": f"""WITH {ORG_HITS}, one AS (SELECT DISTINCT doc_id, source, term FROM hits)
 SELECT term, org, count(*) AS n_docs, count(DISTINCT source) AS breadth, round(coalesce(count(*) FILTER (org = source) / (SELECT nullif(count(*), 0) FROM documents d WHERE d.source = org), 0), 6) AS self_hit, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM one JOIN orgs USING (term) GROUP BY term, org""",
     "keyword_score": f"WITH {_SCORE} SELECT * FROM scored",
@@ -192,9 +181,7 @@ FROM targets t JOIN cut USING (doc_id) WHERE len(targets) > 0 AND len(keywords)
     "unnested_targets": f"WITH {TARGETS} SELECT source || '__' || doc_id || '__' || target AS id, doc_id, source, target FROM (SELECT doc_id, source, unnest(CASE WHEN len(targets) > 0 THEN targets ELSE ['(unknown)'] END) AS target FROM targets)",
     "proximity_pairs": f"WITH {NEAR} SELECT doc_id, org, kw, org_at, kw_at, distance FROM near",
     "best_window": f"WITH {NEAR}, {_BEST}",
-    "proximity_pairs_1200": f"WITH {NEAR_WHOLE} SELECT doc_id, org, kw, org_at, kw_at, distance FROM near",
-    "best_window_1200": f"WITH {NEAR_WHOLE}, {_BEST}",
-    "pair_contexts": f"""WITH {NEAR_WHOLE}, best AS ({_BEST.replace("one AS", "SELECT * FROM (WITH one AS", 1)}))
+    "pair_contexts": f"""WITH {NEAR}, best AS ({_BEST.replace("one AS", "SELECT * FROM (WITH one AS", 1)}))
 SELECT doc_id, org, kw, distance, '[' || org || ' ~ ' || kw || ', ' || distance || ' chars, ' || level || ']' || chr(10) || CASE WHEN anchor > 1000 THEN '…' ELSE '' END || substring(text, greatest(0, anchor - 1000) + 1, least(length(text), anchor + 1000) - greatest(0, anchor - 1000)) || CASE WHEN anchor + 1000 < length(text) THEN '…' ELSE '' END AS context FROM best JOIN documents USING (doc_id)""",
     "target_windows": f"WITH {WINDOWS} SELECT * FROM windows",
     "proximity_only": f"WITH {WINDOWS} SELECT target, count(*) AS n FROM windows WHERE fallback = 0 GROUP BY target",

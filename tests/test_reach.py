@@ -22,4 +22,4 @@ def test_contexts_reach_as_far_as_the_reference(spark, tmp_path):
             want[i] = (x, y, d, f"[{x} ~ {y}, {d} chars, {level}]\n" + "…" * (lo > 0) + t[lo:hi] + "…" * (hi < len(t)))
     got = {r.doc_id: (r.org, r.kw, r.distance, r.context) for r in registry.QUERIES["pair_contexts"](spark, str(tmp_path)).collect()}
     assert set(want) == {1, 3, 4} and got == want
-    assert {r.doc_id: r.level for r in registry.QUERIES["best_window_1200"](spark, str(tmp_path)).collect()} == {1: "distant", 3: "same sentence/paragraph", 4: "distant"}
+    assert {r.doc_id: r.level for r in registry.QUERIES["best_window"](spark, str(tmp_path)).collect()} == {1: "distant", 3: "same sentence/paragraph", 4: "distant"}

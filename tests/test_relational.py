@@ -90,6 +90,58 @@ def test_greedy_clusters(spark):
     assert {(r.master, r.n) for r in dedup.mapping(dedup.greedy(pairs, docs)).collect()} == {(1, 2)}
 
 
+def test_clusters_of_copies_against_brute_force(spark):
+    """Groups of copies cost a row each; their pairs and masters are those of plain comparison of all texts."""
+    import random
+
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefghijklmnop") for _ in range(30)] for _ in range(6)]
+    texts = {}
+    for i in range(90):
+        w = list(base[i % 6])
+        if i % 3:  # a third are copies of one text
+            for _ in range(rng.choice([0, 1, 2, 6])):
+                w[rng.randrange(30)] = rng.choice("xyz")
+        else:
+            w = list(base[0])
+        texts[i] = " ".join(w)
+    texts |= {90: "", 91: " , ", 92: None, 93: "one", 94: "One."}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+    def grams(t):
+        w = "".join(c for c in (t or "").lower() if c not in ".,").split()
+        return {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+
+    sets = {i: grams(t) for i, t in texts.items()}
+    like = lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6
+    master = {}
+    for i in sorted(sets):
+        master[i] = next((m for m in sorted(set(master.values())) if master[m] == m and like(m, i)), i)
+    assert {r.doc_id: r.master for r in dedup.clusters(docs, 0.6, 3).collect()} == master
+    found = dedup.near_pairs(docs, 0.6, 3).collect()
+    cls = {i: i for i in texts} | {r.b: r.a for r in found if r.kind == "member"}
+    pairs = {(r.a, r.b) for r in found if r.kind == "pair"}
+    want = {(a, b) for a in sets for b in sets if a < b and like(a, b)}
+    assert want == {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and (cls[a] == cls[b] or (min(cls[a], cls[b]), max(cls[a], cls[b])) in pairs)}
+    assert sum(r.kind == "member" and r.a == 0 for r in found) >= 29
+    mapped = dedup.mapping(dedup.clusters(docs, 0.6, 3)).collect()
+    assert {(r.master, r.duplicate) for r in mapped} == {(m, i) for i, m in master.items() if i != m}
+
+
+def test_fuzzy_names_against_every_pair(spark):
+    from difflib import SequenceMatcher
+
+    names = ["Green Peace", "Green Piece", "green peace", "Blue", "Bluu", "", None]
+    core = ["Green Peace", "Greene Peace", "Blue", "Blues"]
+    got = {r.name: (r.core, r.ratio) for r in dedup.fuzzy(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(c,) for c in core], "core string"), 60).collect()}
+    want = {}
+    for n in names:
+        for r, c in [(round(100 * SequenceMatcher(None, n, c).ratio(), 6), c) for c in core] if n is not None else []:
+            if r >= 60 and (r, c) > want.get(n, (0, "")):
+                want[n] = (r, c)
+    assert got == {n: (c, r) for n, (r, c) in want.items()}
+
+
 def test_text_functions(spark):
     d = spark.createDataFrame([("Příliš Žlutý",)], "t string")
     r = d.select(X.fold("t").alias("a"), X.fold_any("t").alias("b"), X.positions("t", F.lit("l")).alias("p"), F.col("t").rlike(X.inflected("Žlut")).alias("i"), X.edit_ratio(F.lit("abcd"), F.lit("abcx")).alias("e")).first()
