@@ -40,6 +40,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As written(), by hash buckets of key, so that joins on key don't shuffle these rows again. df is in buckets partitions of key already."""
+    spark, table = df.sparkSession, f"loomnet_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loomnet/{table}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    _written.append(path)
+    return spark.table(table)
+
+
 def mark() -> int:
     """A point from which drop_written() counts."""
     return len(_written)
@@ -50,6 +59,8 @@ def drop_written(spark: SparkSession, since: int = 0) -> None:
     jvm = spark.sparkContext._jvm
     while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        if path.getName().startswith("loomnet_"):
+            spark.sql(f"DROP TABLE IF EXISTS {path.getName()}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
