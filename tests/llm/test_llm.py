@@ -144,6 +144,25 @@ def test_large_groups_branch_and_join(spark, how):
     assert max(r["count"] for r in leaves.groupBy("path").count().collect()) <= max(how["leaf"], how.get("held", 1 << 14))
 
 
+def halves(rng, n, alike):
+    """Pairs of texts with 2 * alike of 4 * alike shingles in common, n of them: Jaccard 0.5 or a little more."""
+    rows = []
+    for i in range(n):
+        both, x, y = ([f"{k}{i}x{j}" for j in range(m)] for k, m in (("b", 2 * alike + 2), ("x", alike), ("y", alike)))
+        rows += [(2 * i, " ".join(both + x)), (2 * i + 1, " ".join(both + y))]
+    return rows
+
+
+def test_no_link_at_the_threshold_is_left_out(spark):
+    """Tokens alone dismiss some pairs of this kind, and a single tree misses many."""
+    rows = halves(random.Random(1), 900, 12)
+    sets = {i: shingles(t) for i, t in rows}
+    assert all(len(sets[i] & sets[i + 1]) >= 0.5 * len(sets[i] | sets[i + 1]) for i in range(0, 1800, 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"trees": 1}):
+        assert {r.doc_id: r.group_id for r in neardup.near_copies(docs, **how).collect()} == {i: i - i % 2 for i in range(1800)}
+
+
 def test_compare_skips_only_connected_pairs():
     rng = np.random.default_rng(0)
     for _ in range(40):
