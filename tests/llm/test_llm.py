@@ -163,6 +163,73 @@ def test_no_link_at_the_threshold_is_left_out(spark):
         assert {r.doc_id: r.group_id for r in neardup.near_copies(docs, **how).collect()} == {i: i - i % 2 for i in range(1800)}
 
 
+def test_texts_are_shuffled_once(spark, sf, monkeypatch):
+    """Texts go to their buckets by one exchange; tokens aren't written again for deeper levels, nor exchanged."""
+    plans, seen = {}, []
+
+    def bucketed(df, name, *rest):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept[0](df, name, *rest)
+
+    def written(df, name):
+        seen.append(name)
+        return kept[1](df, name)
+
+    kept = neardup.bucketed, neardup.written
+    monkeypatch.setattr(neardup, "bucketed", bucketed)
+    monkeypatch.setattr(neardup, "written", written)
+    monkeypatch.setattr(neardup, "BUCKET", 64)
+    got = {tuple(r) for r in neardup.near_copies(documents(spark, sf), leaf=8).collect()}
+    assert plans["texts-apart"].count("Exchange hashpartitioning") == 1
+    assert plans["minwise"].count("Exchange") == 0
+    assert "next-nodes" in seen and "deep-tokens" not in seen and list(plans) == ["texts-apart", "minwise"]
+    monkeypatch.undo()
+    assert got == {tuple(r) for r in neardup.near_copies(documents(spark, sf)).collect()}
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 19])
+def test_parts_give_all_pairs_and_few_others(monkeypatch, at_once):
+    """All pairs of different labels that meet the threshold come to their need, whatever the parts; pairs with a few common shingles aren't given at all."""
+    monkeypatch.setattr(neardup, "PAIRS", at_once)
+    rng = random.Random(at_once)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(20_000), rng.randrange(60, 240))
+        sets += [set(base) - set(rng.sample(base, k * len(base) // 9)) | set(rng.sample(range(20_000), k * len(base) // 9)) for k in range(4)]
+    sets += [{1, 2}, {1, 2, 3}, {5}, {5}]
+    n = len(sets)
+    label = np.array([k - k % 4 if k % 3 else k for k in range(n)])
+    ids, size = np.arange(n) * 7, np.array([len(s) for s in sets])
+    order = {t: k for k, t in enumerate(rng.sample(range(20_000), 20_000))}
+    shown = [sorted(s, key=order.get)[: int(neardup.kept_of(len(s), 0.5))] for s in sets]
+    want = {(7 * i, 7 * j) for i in range(n) for j in range(i + 1, n) if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    rows = {}
+    for parts in (1, 5, 400):
+        need, shared, rows[parts] = {}, collections.Counter(), 0
+        for part in range(parts):
+            at = [(d, t, k) for d, s in enumerate(shown) for k, t in enumerate(s) if t % parts == part]
+            doc, token, place = (np.array(x, dtype) for x, dtype in zip(zip(*at) if at else ((), (), ()), (np.int64, np.uint32, np.uint16)))
+            for found in neardup.meeting(ids, size, label, doc, token, place, 0.5, parts):
+                for a, b, least, some in zip(*(x.tolist() for x in found)):
+                    rows[parts] += 1
+                    assert a < b and need.setdefault((a, b), least) == least
+                    shared[a, b] += some
+        assert want and want <= {p for p in need if shared[p] >= need[p]}
+        assert len({p for p in need if shared[p] >= need[p]}) < 4 * len(want)
+    assert rows[1] < 4 * len(want) < 0.5 * rows[400]
+
+
+def test_prints_dismiss_no_link():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 300, 5000):
+        for common in (0, n // 3, n // 2, n):
+            x, y = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(2))
+            y[:common] = x[:common]
+            bits, gaps = neardup.prints(x)
+            assert common <= neardup.met_prints(np.unique(y), bits, gaps) <= common + 0.05 * n + 1
+            assert len(gaps) <= 1.2 * n + 2
+
+
 def test_compare_skips_only_connected_pairs():
     rng = np.random.default_rng(0)
     for _ in range(40):
