@@ -141,7 +141,7 @@ class Automaton:
 
 def _hashes(hasher: words.Hasher, col: pa.Array):
     """For each chunk of a column: first row, starts, ends, hashes of words, offsets of words by row, offsets of bytes."""
-    for lo, _, data, offs in words.text_chunks(words.lowered(col)):
+    for lo, _, data, offs in words.lowered_chunks(col):
         s, e, wo = hasher.words(data, offs, words.letters(data))
         yield lo, s, e, hasher.ranges(data, s, e), wo, offs
 

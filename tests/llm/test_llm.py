@@ -4,6 +4,8 @@ import collections
 import math
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -230,6 +232,17 @@ def test_prints_dismiss_no_link():
             assert len(gaps) <= 1.2 * n + 2
 
 
+def test_frequencies_come_to_the_driver_compressed(spark):
+    texts = ["a b c", "a b d", "a b", "", "e"]
+    parts = neardup.frequencies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), len(texts))
+    assert sum(map(len, parts.values())) < (1 << neardup.CELLS) // 50
+    table = neardup.levels_of(parts)
+    sets = dict(neardup._shingle_sets(words.Hasher(), pa.array(texts)))
+    cells = collections.Counter(c for x in sets.values() for c in (words.mix(x) >> np.uint64(64 - neardup.CELLS)).tolist())
+    assert max(cells.values()) >= 3 and len(table) == 1 << neardup.CELLS
+    assert {int(k): int(table[k]) for k in np.flatnonzero(table)} == {k: int(np.log2(1.0 + n) * 12) for k, n in cells.items()}
+
+
 def test_compare_skips_only_connected_pairs():
     rng = np.random.default_rng(0)
     for _ in range(40):
@@ -663,3 +676,40 @@ def test_word_kernels():
         assert len(set(g.tolist())) == len({tuple(x[i : i + k]) for i in range(200 - k + 1)})
         at = words.sliding_argmin(x, k)
         assert all(at[i] == i + int(np.argmin(x[i : i + k])) for i in range(200 - k + 1))
+
+
+HOLDS = """
+import re
+import numpy as np
+import pyarrow as pa
+from loomnet.llm import line_dedup, neardup
+
+def mb():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    for k in range(3):
+        texts = [f"{k} {i} " + "some words of a text\\n" * 100 for i in range(10_000)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(texts), pa.array(np.arange(10_000))], names=["doc_id", "text", "mark"])
+
+before = mb()
+for step in (line_dedup._hashed, neardup._named):
+    for _ in step(batches()):
+        pass
+print(mb() - before)
+"""
+
+
+def test_a_worker_gives_memory_back():
+    """Workers of an executor live on side by side from step to step, so what is free may not stay with them."""
+    root = words.__file__.rsplit("/loomnet/", 1)[0]
+    out = subprocess.run([sys.executable, "-c", HOLDS], cwd=root, capture_output=True, text=True, check=True, timeout=120)
+    assert float(out.stdout) < 60, out.stdout
+
+
+def test_lowered_chunks():
+    texts = ["ÀB c", None, "", "İ" * 30, "X" * 50, "ẞ x", "É", None]
+    for col in (pa.array(texts), pa.array(["z", *texts]).slice(1)):
+        for size in (1, 8, 40, 1 << 20):
+            got, want = (list(x) for x in (words.lowered_chunks(col, size), words.text_chunks(words.lowered(col), size)))
+            assert [(a, b, bytes(c), d.tolist()) for a, b, c, d in got] == [(a, b, bytes(c), d.tolist()) for a, b, c, d in want]
