@@ -62,8 +62,8 @@ class Coder:
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text, as bytes of kind."""
-        return self.coder.encode_to_numpy(text, disallowed_special=()).astype(self.kind).tobytes()
+        """Ids of a text, as bytes of kind. There are no special tokens; encode_to_numpy would look for them at every character."""
+        return np.fromiter(self.coder.encode_ordinary(text), self.kind).tobytes()
 
     def decode(self, ids) -> str:
         return self.coder.decode(list(map(int, ids)), errors="strict")

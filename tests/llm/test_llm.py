@@ -623,6 +623,19 @@ def test_rans_round_trip(spark, sf):
         rans.decode_block(bad, freq, every=3)
 
 
+def test_texts_are_coded_without_a_search_for_special_tokens():
+    coder = rans.Coder(rans.vocabulary_path())
+    texts = ["", " ", "<|endoftext|>", "l'été  où\n\n x1 22", "Ä’\U0001f600   x", "\u4e2d\u6587 \u0660\u0661", "x" * 5000, "a\n\nb\n"]
+    want = [coder.coder.encode_to_numpy(t, disallowed_special=()).astype(coder.kind).tobytes() for t in texts]
+    real = coder.coder
+
+    class Ordinary:
+        encode_ordinary = staticmethod(real.encode_ordinary)
+
+    coder.coder = Ordinary
+    assert [coder.encode(t) for t in texts] == want
+
+
 def test_blocks_decode_from_their_rows_alone(spark, sf, tmp_path):
     for k, d in enumerate((documents(spark, sf), awkward(spark))):
         rans.token_blocks(d, block_tokens=5000, every=3).write.parquet(f"{tmp_path}/{k}")
