@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,13 +13,67 @@ from pyspark.sql import types as T
 from loomnet.functions import text as X
 
 
+LOT = 500  # files that a row of a listing names
+HELD = 1 << 24  # bytes of texts in a batch
+
+
+def stored(path: str):
+    """The file system of a path and the path in it."""
+    import os
+
+    from pyarrow import fs
+
+    local = path.removeprefix("file:") if "://" not in path else path
+    return fs.FileSystem.from_uri(local if "://" in local else os.path.abspath(local))
+
+
 def text_tree(spark: SparkSession, root: str, years: list[str] | None = None, other: bool = False) -> DataFrame:
-    """(doc_id, year, org, filename, text) of root/year/org/text/*.txt; folder names become columns. Only four-digit years, and ``other`` on request; named years are picked by path, before anything is read."""
-    at = [f"{root}/{y}/*/text/*.txt" for y in years] if years else [f"{root}/*/*/text/*.txt"]
-    p = F.col("_metadata.file_path")
-    df = spark.read.text(at, wholetext=True).select(F.regexp_extract(p, r"/([^/]+)/[^/]+/text/[^/]+$", 1).alias("year"), F.url_decode(F.regexp_extract(p, r"/([^/]+)/text/[^/]+$", 1)).alias("org"), F.url_decode(F.regexp_extract(p, r"/text/([^/]+)$", 1)).alias("filename"), F.col("value").alias("text"))
-    keep = F.col("year").rlike("^[0-9]{4}$") | (F.lit(other) & (F.col("year") == "other"))
-    return df.filter(keep).withColumn("doc_id", F.concat_ws("/", "year", "org", "filename"))
+    """(doc_id, year, org, filename, text) of root/year/org/text/*.txt; folder names become columns. Only four-digit years, and ``other`` on request; named years are picked by path, before anything is read.
+
+    The driver sees the folders of organisations only. Tasks list the files of each and read them by lots, so that
+    neither its memory nor the number of tasks grows with the number of files.
+    """
+    import re
+
+    from pyarrow import fs
+
+    store, top = stored(root)
+    below = lambda path: sorted(f.base_name for f in store.get_file_info(fs.FileSelector(path, allow_not_found=path != top)) if f.type == fs.FileType.Directory)
+    found = [str(y) for y in years] if years else below(top)
+    folders = [(y, o) for y in found if re.fullmatch("[0-9]{4}", y) or (other and y == "other") for o in below(f"{top}/{y}")]
+
+    def listed(batches):
+        store, top = stored(root)
+        for b in batches:
+            for year, org in zip(b["year"].to_pylist(), b["org"].to_pylist()):
+                files = store.get_file_info(fs.FileSelector(f"{top}/{year}/{org}/text", allow_not_found=True))
+                names = sorted(f.base_name for f in files if f.type == fs.FileType.File and f.base_name.endswith(".txt"))
+                lots = [names[k : k + LOT] for k in range(0, len(names), LOT)]
+                yield pa.RecordBatch.from_arrays([pa.array([year] * len(lots)), pa.array([org] * len(lots)), pa.array(lots, pa.list_(pa.string()))], names=["year", "org", "names"])
+
+    def read(batches):
+        store, top = stored(root)
+
+        def out(year, org, names, texts):
+            return pa.RecordBatch.from_arrays([pa.array([year] * len(names)), pa.array([org] * len(names)), pa.array(names, pa.string()), pa.array(texts, pa.binary())], names=["year", "org", "filename", "bytes"])
+
+        for b in batches:
+            for year, org, lot in zip(*(b[c].to_pylist() for c in ("year", "org", "names"))):
+                names, texts, total = [], [], 0
+                for name in lot:
+                    with store.open_input_stream(f"{top}/{year}/{org}/text/{name}") as f:
+                        texts.append(f.read())
+                    names.append(name)
+                    total += len(texts[-1])
+                    if total >= HELD:
+                        yield out(year, org, names, texts)
+                        names, texts, total = [], [], 0
+                yield out(year, org, names, texts)
+
+    tasks = max(64, 4 * spark.sparkContext.defaultParallelism)
+    lots = spark.createDataFrame(folders, "year string, org string").repartition(min(tasks, max(1, len(folders)))).mapInArrow(listed, "year string, org string, names array<string>")
+    df = lots.repartition(tasks).mapInArrow(read, "year string, org string, filename string, bytes binary")
+    return df.select("year", "org", "filename", F.col("bytes").cast("string").alias("text"), F.concat_ws("/", "year", "org", "filename").alias("doc_id"))
 
 
 def json_lines(spark: SparkSession, paths, schema: str, mode: str = "drop") -> DataFrame:

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomnet.sources.readers import stored
+
 
 def documents(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("year", "org").parquet(path)
@@ -18,9 +20,8 @@ def text_tree(docs: DataFrame, path: str) -> int:
 
     def run(batches):
         import pandas as pd
-        from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = stored(path)
         made = set()
         for b in batches:
             for year, org, name, text in zip(b["year"], b["org"], b["filename"], b["text"]):
@@ -32,6 +33,8 @@ def text_tree(docs: DataFrame, path: str) -> int:
                     f.write((text or "").encode())
             yield pd.DataFrame({"n": [len(b)]})
 
+    store, root = stored(path)
+    store.create_dir(root, recursive=True)  # an empty tree can be read, too
     return docs.select("year", "org", "filename", "text").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
