@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,30 +64,95 @@ def with_context(pairs: DataFrame, docs: DataFrame, reach: int = 1000) -> DataFr
     return j.select("doc_id", "org", "kw", "distance", F.concat(head, X.context("text", F.col("anchor"), reach)).alias("context"))
 
 
+def found_places(text, terms: list[str]):
+    """For each term, what starts() makes its places of: the lengths of the parts before it in the lower-case text, or the places themselves of a term that can overlap itself."""
+    t = F.lower(text)
+    none = F.array().cast("array<int>")
+
+    def of(w):
+        if overlaps(w):
+            return X.positions(t, F.lit(w))
+        parts = F.split(t, X.escaped(w))
+        return F.when(F.instr(t, F.lit(w)) > 0, F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.length)).otherwise(none)
+
+    return F.array(*map(of, terms))
+
+
+def starts(term: str, found) -> np.ndarray:
+    """The places of a term, ascending, from found_places()."""
+    x = np.asarray(found, np.int64)
+    return x if overlaps(term) else np.cumsum(x + len(term)) - len(term)
+
+
+def nearest(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[int, int, int] | None:
+    """(distance, x, y): the closest x of a and y of b, both ascending, within reach; of equal ones the first x, then the first y."""
+    if not len(a) or not len(b):
+        return None
+    at = np.searchsorted(b, a)
+    before, after = b[np.maximum(at - 1, 0)], b[np.minimum(at, len(b) - 1)]
+    y = np.where(np.abs(a - before) <= np.abs(a - after), before, after)
+    d = np.abs(a - y)
+    k = int(np.argmin(d))
+    return (int(d[k]), int(a[k]), int(y[k])) if d[k] <= reach else None
+
+
+HIT = "struct<distance:int,a:bigint,b:bigint,org_at:int,kw_at:int,org:string,kw:string>"
+
+
+def closest(own: dict[str, list[str]], flat: list[str], words: list[str], reach: int):
+    """Of (places of flat, places of words, asked): for each asked target the closest pair of each of its names and keywords, in order."""
+
+    @F.pandas_udf(f"array<array<{HIT}>>")
+    def run(orgs: pd.Series, kws: pd.Series, asked: pd.Series) -> pd.Series:
+        out = []
+        for o, w, rows in zip(orgs, kws, asked):
+            o = {t: starts(t, p) for t, p in zip(flat, o) if p is not None and len(p)}
+            w = {t: starts(t, p) for t, p in zip(words, w) if p is not None and len(p)}
+            best, of = {}, []
+            for r in rows:
+                hits, names, keys = [], own[r["target"]], [] if r["keywords"] is None else list(r["keywords"])
+                for x in dict.fromkeys(n for n in names if n in o):
+                    for y in dict.fromkeys(k for k in keys if k in w):
+                        if (x, y) not in best:
+                            best[x, y] = nearest(o[x], w[y], reach)
+                        if best[x, y]:
+                            d, i, j = best[x, y]
+                            hits.append((d, names.index(x) + 1, keys.index(y) + 1, i, j, x, y))
+                of.append([dict(zip(("distance", "a", "b", "org_at", "kw_at", "org", "kw"), h)) for h in sorted(hits)])
+            out.append(of)
+        return pd.Series(out)
+
+    return run
+
+
 def windows(found: DataFrame, docs: DataFrame, variants: dict[str, list[str]], reach: int = 1200, width: int = 1000) -> DataFrame:
     """(doc_id, target, context, fallback): text around the closest mention of each target and keyword, under a line that says what was found.
 
     found: (doc_id, target, keywords). variants: the names of each target, a dictionary of driver size; a
-    target without any goes by its own name. Pairs of places are joined within cells of reach
-    characters, as in near(); of those of a document and target the closest of each name and keyword
-    count, ties by the order of names, keywords and places. Where none are near each other, the window
-    is around the first name, else the first keyword that is there, and fallback is 1.
+    target without any goes by its own name. Of the pairs of places within reach of a document and
+    target the closest of each name and keyword count, ties by the order of names, keywords and
+    places. Where none are near each other, the window is around the first name, else the first
+    keyword that is there, and fallback is 1. All places of a document meet in its row, and its text
+    is shuffled once.
     """
-    rows = found.select("doc_id", "target", F.transform("keywords", F.lower).alias("keywords"))
+    lower = F.transform("keywords", F.lower)
     names = sorted({r["target"] for r in found.select("target").distinct().collect()} | set(variants))
+    words = sorted({r["k"].lower() for r in found.select(F.explode("keywords").alias("k")).distinct().collect() if r["k"] is not None})
+    asked = found.groupBy("doc_id").agg(F.collect_list(F.struct("target", lower.alias("keywords"))).alias("asked"))
+    return windows_of(docs.select("doc_id", "text").join(asked, "doc_id"), names, words, variants, reach, width)
+
+
+def windows_of(docs: DataFrame, names: list[str], words: list[str], variants: dict[str, list[str]], reach: int = 1200, width: int = 1000) -> DataFrame:
+    """windows() of (doc_id, text, asked), asked an array of (target, keywords) in lower case: no row leaves its task. names, words: all targets and keywords that are asked."""
     own = {t: [v.lower() for v in variants.get(t, [t])] for t in names}
-    words = sorted({k for r in rows.select(F.explode("keywords").alias("k")).distinct().collect() for k in [r["k"]]})
     table = F.create_map(*(x for t in names for x in (F.lit(t), F.array(*map(F.lit, own[t])))))
     flat = sorted({v for vs in own.values() for v in vs})
-    p = near(docs, flat, words, reach) if flat and words else None
-    d, hits = F.col("distance"), None
-    if p is not None:
-        j = p.join(rows, "doc_id").withColumn("a", F.array_position(F.element_at(table, F.col("target")), F.col("org"))).withColumn("b", F.array_position("keywords", F.col("kw"))).filter("a > 0 and b > 0")
-        order = F.struct("distance", "a", "b", "org_at", "kw_at", "org", "kw")
-        one = j.groupBy("doc_id", "target", "org", "kw").agg(F.min(order).alias("h"))
-        hits = one.groupBy("doc_id", "target").agg(F.array_sort(F.collect_list("h")).alias("hits"))
-    full = rows.join(docs.select("doc_id", "text"), "doc_id")
-    full = full.withColumn("hits", F.lit(None).cast("array<struct<distance:int,a:bigint,b:bigint,org_at:int,kw_at:int,org:string,kw:string>>")) if hits is None else full.join(hits, ["doc_id", "target"], "left")
+    if flat and words:
+        hits = closest(own, flat, words, reach)(found_places("text", flat), found_places("text", words), "asked")
+        full = docs.withColumn("hits", hits).select("doc_id", "text", F.explode(F.arrays_zip("asked", "hits")).alias("z"))
+        full = full.select("doc_id", "text", "z.asked.target", "z.asked.keywords", F.when(F.size("z.hits") > 0, F.col("z.hits")).alias("hits"))
+    else:
+        full = docs.select("doc_id", "text", F.explode("asked").alias("z")).select("doc_id", "text", "z.target", "z.keywords", F.lit(None).cast(f"array<{HIT}>").alias("hits"))
     low = F.lower("text")
     first = lambda terms: F.get(F.filter(terms, lambda v: F.instr(low, v) > 0), 0)
     full = full.withColumn("org", first(F.element_at(table, F.col("target")))).withColumn("kw", first(F.col("keywords")))
