@@ -70,7 +70,7 @@ def text_tree(spark: SparkSession, root: str, years: list[str] | None = None, ot
                         names, texts, total = [], [], 0
                 yield out(year, org, names, texts)
 
-    tasks = max(64, 4 * spark.sparkContext.defaultParallelism)
+    tasks = max(8, 3 * spark.sparkContext.defaultParallelism)
     lots = spark.createDataFrame(folders, "year string, org string").repartition(min(tasks, max(1, len(folders)))).mapInArrow(listed, "year string, org string, names array<string>")
     df = lots.repartition(tasks).mapInArrow(read, "year string, org string, filename string, bytes binary")
     return df.select("year", "org", "filename", F.col("bytes").cast("string").alias("text"), F.concat_ws("/", "year", "org", "filename").alias("doc_id"))
